@@ -1,3 +1,10 @@
 """hushgrain: Spark-native analytics of technical noise in single-cell reads."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run on executors travel with their code, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
