@@ -92,15 +92,13 @@ def overlap_bases(left: DataFrame, right: DataFrame, ident: list[str], on: list[
 
 
 def overlapping(left: DataFrame, right: DataFrame, on: list[str], width: int = BIN) -> DataFrame:
-    """Rows of ``left`` that overlap any row of ``right``, each once: a semi join on merged intervals' bins."""
-    merged = islands(right, on)
-    return _semi(left, merged, on, width)
-
-
-def _semi(left: DataFrame, merged: DataFrame, on: list[str], width: int) -> DataFrame:
-    marked = left.withColumn("_row", F.monotonically_increasing_id())
-    hits = overlaps(marked.select("_row", *on, "s", "e"), merged, on, width).select("_row").distinct()
-    return marked.join(hits, "_row", "left_semi").drop("_row")
+    """Rows of ``left`` that overlap any row of ``right``, repeated rows kept: a semi join by the rows' own values."""
+    cols = left.columns
+    hits = overlaps(left.distinct(), islands(right, on), on, width).select(*[F.col(c).alias(f"_h_{c}") for c in cols]).distinct()
+    same = F.lit(True)
+    for c in cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+    return left.join(hits, same, "left_semi")
 
 
 def near(df: DataFrame, sites: DataFrame, on: list[str], pos: str, distance: int, into: str = "is_near") -> DataFrame:
