@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushgrain import constants as C
 from hushgrain.functions import reads as R
 from hushgrain.operators import cascade, intervals, sequence
 
@@ -70,13 +71,13 @@ def vote(reads: DataFrame, tallied: DataFrame) -> DataFrame:
     return j.withColumn("category", best).withColumn("base_counts", F.map_from_entries(entries)).drop("t", "_name", "_moved")
 
 
-def classify(reads: DataFrame, layers: DataFrame, whitelist: DataFrame | None = None, paired: bool = False, splice_sites: DataFrame | None = None, chunks: DataFrame | None = None, chunk: int = 512) -> DataFrame:
+def classify(reads: DataFrame, layers: DataFrame, whitelist: DataFrame | None = None, paired: bool = False, splice_sites: DataFrame | None = None, chunks: DataFrame | None = None, chunk: int = 512, distance: int = C.CHIMERIC_DISTANCE) -> DataFrame:
     """Every primary read with ``cell_barcode, category, base_counts, read_length`` and the artifact flags.
 
     ``reads`` needs ``read_id`` (unique), ``contig, pos, strand, flag, cigar, seq, cb, umi, nh, sa`` and, if ``paired``,
     ``next_contig, tlen``.  Rows that the rules decide never enter the range join.
     """
-    decided = cascade.decide(reads.withColumn("read_length", R.aligned_length()), whitelist, paired)
+    decided = cascade.decide(reads.withColumn("read_length", R.aligned_length()), whitelist, paired, distance)
     rest = decided.where(F.col("decided") == cascade.UNDECIDED).withColumn("blocks", R.blocks()).withColumn("n_junctions", F.size(R.junctions())).withColumn("n_blocks", F.size("blocks"))
     long = rest.select("read_id", "contig", "strand", F.posexplode("blocks").alias("block", "_b")).select("read_id", "contig", "strand", "block", "_b.s", "_b.e")
     voted = vote(rest.drop("blocks"), tally(block_bases(long, layers)))
