@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's pre-token pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: Unicode white space, which the encoder means by ``\\s``; other engines' ``\\s`` differ in control characters.
+_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PRE_TOKEN = regex.compile(PATTERN.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]"))
+_BLANK = regex.compile(f"[{_SPACE}]+")
 #: Characters (bytes of a single pre-token) that are encoded in one go.
 LEAF = 16_384
 #: Texts of more characters are spread over rows.
@@ -76,16 +80,18 @@ def halves(text: str, leaf: int) -> list[tuple[bool, bytes]]:
 def _unsplit(text: str, leaf: int) -> list[tuple[bool, bytes]]:
     """Leaves of text without a place to cut: whole pre-tokens together, and halves of pre-tokens that are too long."""
     out, held, size = [], [], 0
-    for m in regex.finditer(PATTERN, text):
-        piece = m.group()
-        if size + len(piece) > leaf and held:
+
+    def close() -> None:
+        nonlocal held, size
+        if held:
             out.append((False, "".join(held).encode()))
-            held, size = [], 0
+        held, size = [], 0
+
+    for m in _PRE_TOKEN.finditer(text):
+        piece = m.group()
         raw = piece.encode()
         if len(raw) > leaf:
-            if held:
-                out.append((False, "".join(held).encode()))
-                held, size = [], 0
+            close()
             todo = [raw]
             while todo:
                 b = todo.pop()
@@ -94,11 +100,16 @@ def _unsplit(text: str, leaf: int) -> list[tuple[bool, bytes]]:
                 else:
                     todo += [b[len(b) // 2 :], b[: len(b) // 2]]
             out.append((False, b""))  # ends the pre-token
-        else:
-            held.append(piece)
-            size += len(piece)
-    if held:
-        out.append((False, "".join(held).encode()))
+            continue
+        if _BLANK.fullmatch(piece):  # how white space is cut depends on what follows, so it stays alone
+            close()
+            out.append((False, raw))
+            continue
+        if size + len(piece) > leaf:
+            close()
+        held.append(piece)
+        size += len(piece)
+    close()
     return out
 
 
