@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hushgrain import constants as C
 from hushgrain.operators import intervals as I
 from hushgrain.operators import sequence
+from hushgrain.storage import materialise
 
 GENE = ["contig", "strand", "gene_id", "biotype"]
 
@@ -64,11 +65,12 @@ def intergenic_bases(gaps: DataFrame) -> DataFrame:
 
 def build(genes: DataFrame, exons: DataFrame, exclude: list[str] | None = None) -> dict[str, DataFrame]:
     """All layers.  Raises if there are no genes or exons once the excluded ones are gone."""
-    genes, exons = (drop_mito(drop_biotypes(x, exclude or [])) for x in (genes, exons))
+    genes, exons = (materialise(drop_mito(drop_biotypes(x, exclude or [])), "annotation") for x in (genes, exons))
     if genes.isEmpty() or exons.isEmpty():
         raise ValueError("the annotation has no gene or no exon rows")
-    unions, bodies = exon_unions(exons), gene_bodies(genes)
-    shared, inner = shared_regions(unions), introns(bodies, unions)
+    # each layer feeds several others, so it is written once
+    unions, bodies = materialise(exon_unions(exons), "exons"), gene_bodies(genes)
+    shared, inner = materialise(shared_regions(unions), "shared"), materialise(introns(bodies, unions), "introns")
     gaps = intergenic(bodies)
     return {"exons": unions, "genes": bodies, "introns": inner, "shared": shared, "unique": unique_regions(unions, shared), "intergenic": gaps, "splice_sites": sequence.splice_sites(exons)}
 

@@ -86,7 +86,7 @@ def classify(reads: DataFrame, layers: DataFrame, whitelist: DataFrame | None =
         f = sequence.fetch(flags.withColumn("_end", R.ref_end()), chunks, "contig", "_end", 20, chunk)
         flags = f.withColumn("is_polya", R.has_a_run("bases")).drop("bases", "_end")
         if splice_sites is not None:
-            j = voted.where("n_junctions > 0").select("read_id", "contig", "strand", F.explode(R.junctions()).alias("junction"))
+            j = rest.where("n_junctions > 0").select("read_id", "contig", "strand", F.explode(R.junctions()).alias("junction"))
             odd = sequence.with_donor(sequence.with_known(j, splice_sites), chunks, chunk).where("NOT is_known AND NOT is_canonical").select("read_id", F.lit(True).alias("is_noncanon")).distinct()
             flags = flags.join(odd, "read_id", "left")
     for c in ("is_polya", "is_noncanon"):

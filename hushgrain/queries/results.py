@@ -12,6 +12,7 @@ from hushgrain.operators import intergenic as G
 from hushgrain.operators import metrics as M
 from hushgrain.queries import metrics as Q
 from hushgrain.queries.common import table
+from hushgrain.storage import materialise
 from hushgrain.standins import duck, view
 
 QUERIES, SQL = {}, {}
@@ -64,11 +65,11 @@ def _loci(spark, d):
 
 
 def scored(spark: SparkSession, d: str, r: DataFrame | None = None) -> DataFrame:
-    r = recs(spark, d) if r is None else r
+    r = materialise(recs(spark, d), "records") if r is None else r
     bases = table(spark, d, "contigs").agg(F.sum("contig_length")).first()[0]
     repeats = r.select("contig", F.expr("(start_pos div 100000) * 100000 + 50000").alias("s")).distinct().withColumn("e", F.col("s") + 3000)
     sites = r.where("three_prime % 5 = 0").select("contig", F.col("three_prime").alias("pos")).distinct()
-    return G.score(G.loci(G.cluster(r, S), S), r, S, bases, repeats, sites, F.col("modal_three_prime") % 2 == 0)
+    return G.score(materialise(G.loci(G.cluster(r, S), S), "loci"), r, S, bases, repeats, sites, F.col("modal_three_prime") % 2 == 0)
 
 
 @query("record_extract", RECORDS + " SELECT * FROM rec")
@@ -140,7 +141,7 @@ al AS (SELECT sample_id, cell_barcode, category, n_reads, n_bases FROM cnt UNION
 @query("intergenic_reallocate", _MOVES + " SELECT sample_id, cell_barcode, category, CAST(sum(n_reads) AS BIGINT) AS n_reads, CAST(sum(n_bases) AS BIGINT) AS n_bases FROM al GROUP BY 1, 2, 3")
 def intergenic_reallocate(spark: SparkSession, d: str) -> DataFrame:
     """Counts after sparse reads moved to their loci's categories."""
-    r = recs(spark, d)
+    r = materialise(recs(spark, d), "records")
     return G.reallocate(Q.counts(spark, d), G.cluster(r, S), scored(spark, d, r), S)
 
 
@@ -150,8 +151,8 @@ SQL["sequential_rounded_move"] = _MOVES + " SELECT sample_id, cell_barcode, cate
 @query("sequential_rounded_move", SQL["sequential_rounded_move"])
 def sequential_rounded_move(spark: SparkSession, d: str) -> DataFrame:
     """What each category was given."""
-    c = Q.counts(spark, d)
-    r = recs(spark, d)
+    c = materialise(Q.counts(spark, d), "counts")
+    r = materialise(recs(spark, d), "records")
     new = G.reallocate(c, G.cluster(r, S), scored(spark, d, r), S).where("category != 'intergenic_sparse'")
     k = [*S, "cell_barcode", "category"]
     j = new.join(c.select(*k, F.col("n_reads").alias("r0"), F.col("n_bases").alias("b0")), k, "left")
