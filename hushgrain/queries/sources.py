@@ -4,17 +4,21 @@ Their text inputs are made of the test tables line by line and read back by the
 that SQL over the tables themselves is the expected result.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushgrain import constants as C
+from hushgrain.operators import annotation as A
 from hushgrain.operators import metrics as M
-from hushgrain.operators import sequence
 from hushgrain.plans import sinks
+from hushgrain.queries import intervals as IQ
 from hushgrain.queries import metrics as Q
 from hushgrain.queries.common import table
-from hushgrain.sources import headers, sheets, text
+from hushgrain.sources import bam, headers, resolve, sheets, text
 from hushgrain.standins import duck, view
+from hushgrain.storage import shared_dir
 
 QUERIES, SQL = {}, {}
 
@@ -234,6 +238,47 @@ def discover_bams(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "samples").where(F.endswith("bam_path", F.lit(".bam"))).select("bam_path").orderBy("bam_path")
 
 
+# --- files in the shared folder ---
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark).removeprefix('file://')}/hushgrain/{name}-{uuid.uuid4().hex}"
+
+
+@query("scan_bam", duck("reads") + " SELECT read_id AS qname, flag, contig, pos, cigar, seq, cb, umi, nh, sa, strand, next_contig, CAST(tlen AS BIGINT) AS tlen FROM reads")
+def scan_bam(spark: SparkSession, d: str) -> DataFrame:
+    """Binary alignments: every derived read written to files, one a partition, and read back."""
+    r = view(spark, d, "reads").withColumn("qname", F.col("read_id")).withColumn("mapq", F.lit(60)).withColumn("seq", F.upper("seq"))
+    folder = _folder(spark, "bam")
+    bam.write_bam(r, folder, [(f"chr{i}", 400_000) for i in (1, 2, 3, 4, 5, 9)] + [("chrM", 400_000)])
+    bam.register(spark)
+    return spark.read.format("bam").load(folder).select("qname", "flag", "contig", "pos", "cigar", "seq", "cb", "umi", "nh", "sa", "strand", "next_contig", "tlen")
+
+
+SQL["scan_bam"] = SQL["scan_bam"].replace(" seq, cb", " upper(seq) AS seq, cb")
+
+
+@query("gzip_open", duck("sites") + " SELECT DISTINCT contig, pos FROM sites")
+def gzip_open(spark: SparkSession, d: str) -> DataFrame:
+    """A site list from gzipped text."""
+    folder = _folder(spark, "gz")
+    _tabbed(view(spark, d, "sites"), F.col("contig"), F.col("pos"), F.col("pos") + 1).write.text("file://" + folder, compression="gzip")
+    return text.parse_sites(text.lines(spark, "file://" + folder))
+
+
+def _cached(name: str, part: str, build, sql: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        folder = _folder(spark, "cache")
+        made = [resolve.cached(spark, folder, "key", lambda: {part: build(spark, d)}) for _ in range(2)]  # built, then read
+        return made[1][part]
+
+    run.__doc__ = f"The {part} out of the cache."
+    QUERIES[name], SQL[name] = run, sql
+
+
+_cached("annotation_cache", "exons", lambda spark, d: A.exon_unions(view(spark, d, "exons")), IQ.SQL["exon_union_per_gene"])
+_cached("site_cache", "sites", lambda spark, d: view(spark, d, "sites").distinct(), duck("sites") + " SELECT DISTINCT contig, pos FROM sites")
+
 # --- plates ---
 
 
@@ -382,6 +427,13 @@ def sink_loci(spark: SparkSession, d: str) -> DataFrame:
     return sinks.loci_table(scored(spark, d))
 
 
+@query("console_summary", Q.ONCE + f" SELECT concat(sample_id, '  ', CAST(CAST(sum(n_reads) AS BIGINT) AS VARCHAR), ' reads  noise ', printf('%.4f', {Q._sum('n_reads', C.NOISE)} / sum(n_reads))) AS line FROM cnt GROUP BY sample_id")
+def console_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A line per library."""
+    s = Q.sample_row(spark, d)
+    return s.select(F.format_string("%s  %d reads  noise %.4f", "sample_id", "n_reads_classified", "noise_read_frac").alias("line"))
+
+
 def _results(name: str, source: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         from hushgrain.queries import results

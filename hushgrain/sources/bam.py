@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -22,6 +25,9 @@ SCHEMA = "qname string, flag int, contig string, pos bigint, mapq int, cigar str
 SPLIT_BYTES = 64 << 20
 # Fixed values of the format.
 _OPS, _BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
+# a base is one hexadecimal digit of the packed sequence
+_FROM_HEX = str.maketrans("0123456789abcdef", _BASES)
+_TO_HEX = str.maketrans(_BASES, "0123456789abcdef")
 _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 _CODES = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 
@@ -126,7 +132,7 @@ def parse_record(data: bytes, names: list[str], with_seq: bool, cb: str, umi: st
     seq = None
     if with_seq and n_seq:
         packed = data[i : i + (n_seq + 1) // 2]
-        seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:n_seq]
+        seq = packed.hex().translate(_FROM_HEX)[:n_seq]
     i += (n_seq + 1) // 2 + n_seq
     t = _tags(data, i, {cb, umi, "NH", "SA", "CG"})
     contig = names[ref] if ref >= 0 else None
@@ -134,6 +140,15 @@ def parse_record(data: bytes, names: list[str], with_seq: bool, cb: str, umi: st
     return qname, flag, contig, pos, mapq, cigar, names[next_ref] if next_ref >= 0 else None, next_pos, tlen, seq, t.get(cb), t.get(umi), t.get("NH"), t.get("SA"), "-" if flag & 16 else "+"
 
 
+_BATCH = 4096
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+
+
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    fields = [f.split() for f in SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
+
 @dataclass
 class BamPartition(InputPartition):
     path: str
@@ -189,16 +204,21 @@ class BamReader(DataSourceReader):
             out += [BamPartition(path, a, b) for a, b in zip(cuts, [*cuts[1:], None])]
         return out
 
-    def read(self, partition: BamPartition) -> Iterator[tuple]:
+    def read(self, partition: BamPartition) -> Iterator[pa.RecordBatch]:
         r = BlockReader(partition.path)
         names = read_header(r)[1]
         r.close()
-        r = BlockReader(partition.path, partition.start)
+        r, held = BlockReader(partition.path, partition.start), []
         while partition.stop is None or r.offset < partition.stop:
             size = r.read(4)
             if len(size) < 4:
                 break
-            yield (*parse_record(r.read(struct.unpack("<i", size)[0]), names, self.with_seq, self.cb, self.umi), partition.path)
+            held.append((*parse_record(r.read(struct.unpack("<i", size)[0]), names, self.with_seq, self.cb, self.umi), partition.path))
+            if len(held) == _BATCH:
+                yield _as_batch(held)
+                held = []
+        if held:
+            yield _as_batch(held)
         r.close()
 
 
@@ -218,3 +238,52 @@ class BamSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(BamSource)
+
+
+def _block(data: bytes) -> bytes:
+    c = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = c.compress(data) + c.flush()
+    return b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def pack_record(r: dict, places: dict[str, int]) -> bytes:
+    """One record of the fields of ``SCHEMA``; null tags are left out."""
+    ops = [(int(n), op) for n, op in _CIGAR.findall(r["cigar"] or "")]
+    seq = r["seq"] or ""
+    packed = bytes.fromhex(re.sub("[^0-9a-e]", "f", seq.upper().translate(_TO_HEX)) + "0" * (len(seq) % 2))
+    name = r["qname"].encode() + b"\0"
+    tags = b"".join(t + b"Z" + r[c].encode() + b"\0" for t, c in ((b"CB", "cb"), (b"UB", "umi"), (b"SA", "sa")) if r[c] is not None)
+    if r["nh"] is not None:
+        tags += b"NHi" + struct.pack("<i", int(r["nh"]))
+    head = struct.pack("<iiBBHHHiiii", places.get(r["contig"], -1), int(r["pos"]), len(name), 255 if r["mapq"] is None else int(r["mapq"]), 0, len(ops), int(r["flag"]), len(seq), places.get(r["next_contig"], -1), -1, int(r["tlen"] or 0))
+    body = head + name + b"".join(struct.pack("<I", n << 4 | _OPS.index(op)) for n, op in ops) + packed + b"\xff" * len(seq) + tags
+    return struct.pack("<i", len(body)) + body
+
+
+_CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
+_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+
+
+def write_bam(df, folder: str, contigs: list[tuple[str, int]], header: str = "@HD\tVN:1.6\n") -> int:
+    """One file per partition of ``df`` in a folder that all executors share; returns the number of records."""
+    os.makedirs(folder, exist_ok=True)
+    places = {c: i for i, (c, _) in enumerate(contigs)}
+    text = header + "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in contigs)
+    top = b"BAM\x01" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(contigs)) + b"".join(struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in contigs)
+
+    def run(parts):
+        path, n, held = os.path.join(folder, f"part-{uuid.uuid4().hex}.bam"), 0, top
+        with open(path + ".tmp", "wb") as f:
+            for part in parts:
+                for r in part.to_pylist():
+                    held += pack_record(r, places)
+                    n += 1
+                    while len(held) >= 65_000:
+                        f.write(_block(held[:65_000]))
+                        held = held[65_000:]
+            f.write((_block(held) if held else b"") + _END)
+        os.replace(path + ".tmp", path)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    cols = ["qname", "flag", "contig", "pos", "mapq", "cigar", "next_contig", "tlen", "seq", "cb", "umi", "nh", "sa"]
+    return df.select(*cols).mapInArrow(run, "n bigint").groupBy().sum("n").first()[0] or 0
