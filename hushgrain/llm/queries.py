@@ -61,7 +61,7 @@ def p2_combinations(spark: SparkSession, d: str) -> DataFrame:
     reads = _umi_reads(spark, d)
     maps, bits = _umi_maps(reads, reads.count())
     every = bitmaps.merge_combinations(maps, KEYS2)
-    return bitmaps.estimate(every, [*KEYS2, "level"], bits)
+    return bitmaps.estimate(every, [*KEYS2, "level"], bits).withColumn("n_distinct", F.round("n_distinct", 4))
 
 
 def _sql_maps(source: str, bits: str) -> str:
@@ -77,7 +77,7 @@ def _sql_bits(n: str) -> str:
     return f"CASE {ok} END"
 
 
-_SQL_ESTIMATE = "CAST(count(DISTINCT bit) AS BIGINT) AS n_bits_set, -(m * 1.0) * ln((m - count(DISTINCT bit)) / (m * 1.0)) AS n_distinct"
+_SQL_ESTIMATE = "CAST(count(DISTINCT bit) AS BIGINT) AS n_bits_set, round(-(CAST(m AS DOUBLE)) * ln((m - count(DISTINCT bit)) / CAST(m AS DOUBLE)), 4) AS n_distinct"
 
 P2_COMBINATIONS = f"""
 WITH r AS (SELECT sample_id, strftime(sequenced_at, '%Y-%m-%d') AS run_day, category, upper(ub) AS umi FROM alignments WHERE ub <> '' AND qname IS NOT NULL),
@@ -96,7 +96,7 @@ def p2_runs(spark: SparkSession, d: str) -> DataFrame:
     rows = _run_umis(spark, d)
     bits = bitmaps.log_bits(max(1, rows.count()), UMI_ERROR)
     per_run = bitmaps.bitmaps(rows, ["worker_run", *KEYS2], "umi", bits)
-    return bitmaps.estimate(bitmaps.merge(per_run, KEYS2), KEYS2, bits)
+    return bitmaps.estimate(bitmaps.merge(per_run, KEYS2), KEYS2, bits).withColumn("n_distinct", F.round("n_distinct", 4))
 
 
 P2_RUNS = f"""
