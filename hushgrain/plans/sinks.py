@@ -28,7 +28,7 @@ def write_tsv(df: DataFrame, path: str, single: bool = True) -> None:
 
 
 def shown(c: str, kind: str) -> Column:
-    return F.coalesce(F.format_string("%.6f", F.col(c)) if kind == "double" else F.col(c).cast("string"), F.lit("nan"))
+    return F.coalesce(F.format_string("%.6f", F.bround(F.col(c), 6)) if kind == "double" else F.col(c).cast("string"), F.lit("nan"))
 
 
 def read_metrics(sample: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,7 +57,7 @@ def per_well_rows(wells: DataFrame) -> DataFrame:
     """Fractions as text with four digits, and the extra columns of the sheet as JSON."""
     cols = []
     for c, t in wells.dtypes:
-        cols.append(F.format_string("%.4f", F.col(c)).alias(c) if t == "double" else F.to_json(c).alias(c) if t.startswith("map") else F.col(c))
+        cols.append(F.format_string("%.4f", F.bround(F.col(c), 4)).alias(c) if t == "double" else F.to_json(c).alias(c) if t.startswith("map") else F.col(c))
     return wells.select(*cols)
 
 

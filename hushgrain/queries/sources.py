@@ -431,7 +431,7 @@ def sink_loci(spark: SparkSession, d: str) -> DataFrame:
 def console_summary(spark: SparkSession, d: str) -> DataFrame:
     """A line per library."""
     s = Q.sample_row(spark, d)
-    return s.select(F.format_string("%s  %d reads  noise %.4f", "sample_id", "n_reads_classified", "noise_read_frac").alias("line"))
+    return s.select(F.format_string("%s  %d reads  noise %.4f", "sample_id", "n_reads_classified", F.bround("noise_read_frac", 4)).alias("line"))
 
 
 def _results(name: str, source: str) -> None:
