@@ -1,0 +1,31 @@
+"""The queries on genes, exons and sites once more, over every row of part and orders.
+
+The views of the plain queries keep the first 200 genes and 500 sites, and so does their SQL.
+A query ``NAME_whole`` runs the same function over views of all rows, with SQL of its own.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from hushgrain.queries import intervals, metrics, reads, sources
+from hushgrain.standins import duck, whole, whole_sql
+
+QUERIES, SQL = {}, {}
+#: The text by which a cut view is known in a query's SQL.
+_CUT = [duck(n).removeprefix("WITH ") for n in ("genes", "sites")]
+
+
+def _over_all(f: Callable) -> Callable:
+    def run(spark, d):
+        with whole():
+            return f(spark, d)
+
+    run.__doc__ = f.__doc__
+    return run
+
+
+for _m in (reads, intervals, metrics, sources):
+    for _name, _sql in _m.SQL.items():
+        if any(c in _sql for c in _CUT):
+            QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = _over_all(_m.QUERIES[_name]), whole_sql(_sql)

@@ -7,6 +7,9 @@ Each is one SQL text; ``{div}`` stands for the engine's integer division.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 _TSO = "AAGCAGTGGTATCAACGCAGAGTACATGGG"
@@ -60,13 +63,58 @@ FROM {genes} g CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2)
 }
 #: Bases in a chunk of the derived reference sequence.
 CHUNK = 512
+
+#: Of the derived genome, the bases from one block of 200 genes to the next.
+BLOCK = 500_000
+
+
+def _spread(name: str, place: str, block: str, cut: str = "") -> str:
+    """A view over every row of its table: the same places, moved on by a block for each further part of the table."""
+    text = TEXTS[name]
+    if place not in text or not text.endswith(cut):
+        raise ValueError(f"view {name} has changed")
+    return text.removesuffix(cut).replace(place, f"({place} + ({block}) * {BLOCK})")
+
+
+#: The views that :data:`TEXTS` cuts to a few ids, and what must meet them, over all rows.  In the first block they are the same.
+WHOLE = TEXTS | {
+    "genes": _spread("genes", "(p_partkey * 159157) % 400000", "p_partkey {div} 200", " WHERE p_partkey < 200"),
+    "sites": _spread("sites", "(o_orderkey * 7919) % 400000", "o_orderkey {div} 1500", " WHERE o_orderkey < 500"),
+    "reads": _spread("reads", "(l_partkey * 7919 + l_orderkey * 104729 + l_linenumber * 611953) % 400000", "l_partkey {div} 200"),
+    "repeats": _spread("repeats", "(s_suppkey * 40503) % 400000", "s_suppkey {div} 10"),
+}
+_texts = TEXTS
+
+
+@contextmanager
+def whole() -> Iterator[None]:
+    """Within it, views are over all rows of their tables."""
+    global _texts
+    before, _texts = _texts, WHOLE
+    try:
+        yield
+    finally:
+        _texts = before
+
+
+def whole_sql(sql: str) -> str:
+    """A query's SQL over the views of all rows."""
+    for name in TEXTS:
+        sql = sql.replace(_duck_text(name, TEXTS), _duck_text(name, WHOLE))
+    return sql
+
+
 _NEEDS = {"reads": ("lineitem",), "genes": ("part",), "exons": ("genes",), "sites": ("orders",), "repeats": ("supplier",), "obs": ("nation",), "wells": ("nation",), "chunks": ("part",)}
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the views over a data folder."""
     used = {n: view(spark, folder, n) if n in TEXTS else spark.read.parquet(f"{folder}/{n}.parquet") for n in _NEEDS[name]}
-    return spark.sql(TEXTS[name].replace("{div}", "div"), **used)
+    return spark.sql(_texts[name].replace("{div}", "div"), **used)
+
+
+def _duck_text(name: str, texts: dict[str, str]) -> str:
+    return texts[name].replace("{div}", "//").replace("STRING", "VARCHAR").format(**{m: m for m in _NEEDS[name]})
 
 
 def duck(*names: str) -> str:
@@ -82,5 +130,4 @@ def duck(*names: str) -> str:
 
     for n in names:
         need(n)
-    text = {n: TEXTS[n].replace("{div}", "//").replace("STRING", "VARCHAR") for n in order}
-    return "WITH " + ", ".join(f"{n} AS ({text[n].format(**{m: m for m in _NEEDS[n]})})" for n in order)
+    return "WITH " + ", ".join(f"{n} AS ({_duck_text(n, TEXTS)})" for n in order)
