@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from hushgrain import constants as C
 from hushgrain.functions import reads as R
-from hushgrain.operators import annotation, cascade, classify, compare, figures, intergenic, intervals, metrics
+from hushgrain.operators import annotation, cascade, classify, compare, figures, intergenic, intervals, metrics, sequence
 from hushgrain.plans import sinks
 from hushgrain.sources import bam, headers, sheets, text
 from hushgrain.storage import materialise
 
+#: Bases in a chunk of the reference sequence.
+CHUNK = 512
+
 
 @dataclass
 class Settings:
@@ -53,7 +56,7 @@ def build_index(spark: SparkSession, s: Settings) -> dict[str, DataFrame]:
     return {k: materialise(v, k) for k, v in index.items()}
 
 
-def classify_reads(spark: SparkSession, reads: DataFrame, s: Settings, index: dict[str, DataFrame], contigs: dict[str, int] | None = None) -> DataFrame:
+def classify_reads(spark: SparkSession, reads: DataFrame, s: Settings, index: dict[str, DataFrame], contigs: dict[str, int] | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """Classified primary reads of the contigs that are read and of the called cells."""
     if contigs:
         mito = [c for c in contigs if c in C.MITO_CONTIGS]
@@ -61,7 +64,6 @@ def classify_reads(spark: SparkSession, reads: DataFrame, s: Settings, index: di
         long = [c for c in main if contigs[c] >= s.least_contig] or main
         reads = reads.where(F.col("contig").isin(*long, *mito))
     white = text.parse_barcodes(text.lines(spark, s.whitelist)) if s.whitelist else None
-    chunks = materialise(text.read_fasta(spark, s.reference), "reference") if s.reference else None
     paired = s.platform.startswith("illumina") or s.platform == "smartseq"
     got = classify.classify(reads, annotation.tagged(index), white, paired, index["splice_sites"], chunks, distance=s.distance)
     if s.called_cells:
@@ -80,7 +82,8 @@ def run_sample(spark: SparkSession, reads: DataFrame, s: Settings, index: dict[s
     """All tables of one sample (or of many, told apart by ``sample_id``)."""
     index = index or build_index(spark, s)
     reads = reads if "sample_id" in reads.columns else reads.withColumn("sample_id", F.lit(name))
-    got = materialise(classify_reads(spark, reads, s, index, contigs), "classified")
+    chunks = materialise(text.read_fasta(spark, s.reference, CHUNK), "reference") if s.reference else None
+    got = materialise(classify_reads(spark, reads, s, index, contigs, chunks), "classified")
     keys = ["sample_id"]
     counts = materialise(metrics.cell_counts(got, keys, s.umi_dedup), "counts")
     found = None
@@ -90,7 +93,10 @@ def run_sample(spark: SparkSession, reads: DataFrame, s: Settings, index: dict[s
         bases = annotation.intergenic_bases(index["intergenic"]).first()[0]
         sites = text.parse_sites(text.lines(spark, *s.polya_sites)) if s.polya_sites else None
         repeats = text.parse_repeats(text.lines(spark, s.repeats)) if s.repeats else None
-        found = materialise(intergenic.score(intergenic.loci(clustered, keys), recs, keys, bases, repeats, sites), "loci")
+        places, run = intergenic.loci(clustered, keys), None
+        if chunks is not None:
+            places, run = sequence.fetch(places, chunks, "contig", "modal_three_prime", C.POLYA_WINDOW, CHUNK), R.has_a_run("bases")
+        found = materialise(intergenic.score(places, recs, keys, bases, repeats, sites, run).drop("bases"), "loci")
         umis = counts.select(*keys, "cell_barcode", "category", "n_umis")
         moved = intergenic.reallocate(counts, clustered, found, keys)
         counts = materialise(moved.join(umis, [*keys, "cell_barcode", "category"], "left").withColumn("n_umis", F.coalesce("n_umis", F.lit(0))), "counts")

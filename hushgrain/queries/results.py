@@ -10,10 +10,12 @@ from hushgrain.operators import compare as P
 from hushgrain.operators import figures as V
 from hushgrain.operators import intergenic as G
 from hushgrain.operators import metrics as M
+from hushgrain.operators import sequence
 from hushgrain.queries import metrics as Q
+from hushgrain.queries.reads import _fetch_sql
 from hushgrain.queries.common import table
 from hushgrain.storage import materialise
-from hushgrain.standins import duck, view
+from hushgrain.standins import CHUNK, duck, view
 
 QUERIES, SQL = {}, {}
 S = ["sample_id"]
@@ -64,12 +66,16 @@ def _loci(spark, d):
     return G.loci(G.cluster(recs(spark, d), S), S)
 
 
-def scored(spark: SparkSession, d: str, r: DataFrame | None = None) -> DataFrame:
+def scored(spark: SparkSession, d: str, r: DataFrame | None = None, fetched: bool = False) -> DataFrame:
+    """Loci with category.  The run of A is an even 3' end, as in the SQL, or, if ``fetched``, looked up in the sequence."""
     r = materialise(recs(spark, d), "records") if r is None else r
     bases = table(spark, d, "contigs").agg(F.sum("contig_length")).first()[0]
     repeats = r.select("contig", F.expr("(start_pos div 100000) * 100000 + 50000").alias("s")).distinct().withColumn("e", F.col("s") + 3000)
     sites = r.where("three_prime % 5 = 0").select("contig", F.col("three_prime").alias("pos")).distinct()
-    return G.score(materialise(G.loci(G.cluster(r, S), S), "loci"), r, S, bases, repeats, sites, F.col("modal_three_prime") % 2 == 0)
+    found, run = materialise(G.loci(G.cluster(r, S), S), "loci"), F.col("modal_three_prime") % 2 == 0
+    if fetched:
+        found, run = sequence.fetch(found, view(spark, d, "chunks"), "contig", "modal_three_prime", C.POLYA_WINDOW, CHUNK), R.has_a_run("bases")
+    return G.score(found, r, S, bases, repeats, sites, run)
 
 
 @query("record_extract", RECORDS + " SELECT * FROM rec")
@@ -145,6 +151,35 @@ def intergenic_reallocate(spark: SparkSession, d: str) -> DataFrame:
     return G.reallocate(Q.counts(spark, d), G.cluster(r, S), scored(spark, d, r), S)
 
 
+# --- the same with the run of A looked up in the sequence ---
+
+_SRC = "SELECT sample_id AS s_, contig, strand AS t_, locus_id AS l_, modal_three_prime AS pos_at FROM mod"
+
+
+def _fetched_sql(sql: str) -> str:
+    """A query's SQL with the sequence in the place of an even 3' end."""
+    run = f"EXISTS (SELECT 1 FROM ctx WHERE ctx.s_ = prob.sample_id AND ctx.contig = prob.contig AND ctx.t_ = prob.strand AND ctx.l_ = prob.locus_id AND contains(ctx.bases, '{'A' * C.POLYA_RUN}'))"
+    sql = sql.replace("sig AS (", f"ctx AS ({_fetch_sql(_SRC, C.POLYA_WINDOW)}),\nsig AS (", 1).replace("modal_three_prime % 2 = 0 AS polya_run", f"{run} AS polya_run")
+    return duck("chunks") + ", " + sql.removeprefix("WITH ")
+
+
+def _fetched(name: str, run) -> None:
+    QUERIES[f"{name}_fetched"], SQL[f"{name}_fetched"] = run, _fetched_sql(SQL[name])
+
+
+_fetched("polya_context", lambda spark, d: scored(spark, d, fetched=True).where("polya_run_downstream").select(*_PLACE.split(", "), "polya_run_downstream"))
+_fetched("locus_decision", lambda spark, d: scored(spark, d, fetched=True).select(*_PLACE.split(", "), "category", "near_polya_site", "overlaps_repeat"))
+_fetched("is_hotspot", lambda spark, d: scored(spark, d, fetched=True).where("category = 'intergenic_hotspot'").select(*_PLACE.split(", ")))
+_fetched("is_novel", lambda spark, d: scored(spark, d, fetched=True).where("category = 'intergenic_novel'").select(*_PLACE.split(", ")))
+
+
+def _reallocate_fetched(spark, d):
+    r = materialise(recs(spark, d), "records")
+    return G.reallocate(Q.counts(spark, d), G.cluster(r, S), scored(spark, d, r, fetched=True), S)
+
+
+_fetched("intergenic_reallocate", _reallocate_fetched)
+
 SQL["sequential_rounded_move"] = _MOVES + " SELECT sample_id, cell_barcode, category, n_reads, n_bases FROM mo WHERE n_reads > 0 OR n_bases > 0"
 
 

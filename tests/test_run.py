@@ -182,3 +182,25 @@ def test_lists(spark, tmp_path):
     (tmp_path / "r.fa").write_text(">c1 x\nACGTA\nCC\n>c2\nggg\n")
     assert {(r.contig, r.chunk_id): r.seq for r in text.read_fasta(spark, str(tmp_path / "r.fa"), 4).collect()} == {("c1", 0): "ACGT", ("c1", 1): "ACC", ("c2", 0): "GGG"}
     assert os.path.exists(tmp_path / "r.fa")
+
+
+def test_run_of_a_decides_a_locus(spark, files):
+    """A significant locus without junctions near a site is a hotspot if the sequence goes on with a run of A, else novel."""
+    seq = {}
+    for name, run in (("a", "A" * 6), ("c", "C" * 6)):
+        bases = "ACGT" * 15_000
+        seq[name] = bases[:30_105] + run + bases[30_111:]
+        (files / f"{name}.fa").write_text(">chr1\n" + "\n".join(seq[name][i : i + 60] for i in range(0, 60_000, 60)) + "\n")
+    (files / "sites.bed").write_text("chr1\t30099\t30101\n")
+    rows = [(f"n{i}", 0, "chr1", 30_000, f"{C1[:-1]}{'ACGT'[i % 4]}", 1, None, None) for i in range(40)]
+    (files / "n.sam").write_text(HEADER + "".join(f"{q}\t{fl}\t{c}\t{p + 1}\t60\t100M\t*\t0\t0\t{'ACGT' * 25}\t*\tCB:Z:{cb}\tUB:Z:{q}\tNH:i:{nh}\n" for q, fl, c, p, cb, nh, _, _ in rows))
+    reads = plans.load(spark, str(files / "n.sam"))
+    index = plans.build_index(spark, plans.Settings(gtf=str(files / "a.gtf.gz")))
+    # a background so thin that the locus stands out
+    index["intergenic"] = index["intergenic"].unionByName(index["intergenic"].limit(1).withColumns({"contig": F.lit("chr9"), "s": F.lit(0).cast("long"), "e": F.lit(2_000_000_000).cast("long")}))
+    for name, want in (("a", "intergenic_hotspot"), ("c", "intergenic_novel")):
+        s = plans.Settings(gtf=str(files / "a.gtf.gz"), reference=str(files / f"{name}.fa"), polya_sites=[str(files / "sites.bed")])
+        out = plans.run_sample(spark, reads, s, index)
+        locus = out["loci"].first()
+        assert locus.category == want and locus.near_polya_site and locus.polya_run_downstream == (name == "a")
+        assert {r.category for r in out["counts"].where("n_reads > 0").collect()} == {want}

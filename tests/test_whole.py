@@ -38,3 +38,9 @@ def test_every_part_and_order(spark):
 @pytest.mark.parametrize("name", ["introns_whole", "self_overlap_whole", "nearest_within_whole"])
 def test_whole_against_sql(spark, name):
     assert against_sql(spark, name)
+
+
+@pytest.mark.parametrize("name", ["locus_decision_fetched", "polya_context_fetched"])
+def test_fetched_against_sql(spark, name):
+    """The run of A comes from the sequence."""
+    assert against_sql(spark, name)
