@@ -223,9 +223,9 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
-    """The places of each commit that also stand in another."""
-    c = spans.coverage(spans.shared_spans(table(spark, d, "documents")))
-    return c.select(F.col("doc").alias("doc_id"), "first", "last")
+    """The maximal spans that two commits share, each with its place in both."""
+    m = spans.maximal(spans.shared_spans(table(spark, d, "documents"), aligned=True))
+    return m.select("span", F.col("doc").alias("doc_id"), "first", "last")
 
 
 QUERIES = {

@@ -220,18 +220,61 @@ class SuffixAutomaton:
                         runs.append((i, end, end))
         return list(found.items())
 
+    def aligned(self, length: int) -> list[list[tuple[int, int, int]]]:
+        """The spans of at least ``length``, each the same characters at all its places ``(text, first, last)``, the ends of its windows.
+
+        A window of ``length`` is one state; windows that follow each other at all their places, and at no others, are one span.
+        """
+        link, ln = self.link, self.len
+        window: dict[int, int] = {}
+        at: list[list[int]] = []
+        places: dict[int, list[tuple[int, int]]] = {}
+        for i, states in enumerate(self.ends):
+            row = []
+            for end in range(length - 1, len(states)):
+                v, path = states[end], []
+                while v not in window and ln[link[v]] >= length:
+                    path.append(v)
+                    v = link[v]
+                v = window.get(v, v)
+                for p in path:
+                    window[p] = v
+                places.setdefault(v, []).append((i, end))
+                row.append(v)
+            at.append(row)
+        off = length - 1
+
+        def beside(v: int, step: int) -> int | None:
+            """The window ``step`` on at every place of ``v``, if it is one and has no other places."""
+            w = None
+            for i, end in places[v]:
+                k = end - off + step
+                if not 0 <= k < len(at[i]) or (w is not None and at[i][k] != w):
+                    return None
+                w = at[i][k]
+            return w if len(places[w]) == len(places[v]) else None
+
+        out = []
+        for v, where in places.items():
+            if len({i for i, _ in where}) > 1 and beside(v, -1) is None:
+                n, w = 0, v
+                while (w := beside(w, 1)) is not None:
+                    n += 1
+                out.append([(i, end, end + n) for i, end in where])
+        return out
+
 
 _MEMBERS = "fp long, key long, h0 long, h1 long, first int, last int"
 
 
-def _shard_members(length: int):
+def _shard_members(length: int, aligned: bool = False):
     """Over rows sorted by ``fp``: each shard's spans and the surroundings that share them."""
 
     def one(fp: int, rows: list[tuple]) -> Iterator[tuple]:
         automaton = SuffixAutomaton()
         for _, _, t in rows:
             automaton.add(t)
-        for key, (_, runs) in enumerate(automaton.shared(length)):
+        for key, runs in enumerate(automaton.aligned(length) if aligned else [r for _, r in automaton.shared(length)]):
             for i, first, last in runs:
                 yield fp, key, rows[i][0], rows[i][1], first - length + 1, last + 1
 
@@ -270,14 +313,15 @@ def _window_hashes(length: int):
     return run
 
 
-def shared_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, max_texts: int = MAX_TEXTS) -> DataFrame:
+def shared_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, max_texts: int = MAX_TEXTS, aligned: bool = False) -> DataFrame:
     """``span, doc, first, last``: the places ``[first, last)`` of shared spans of at least ``length`` characters.
 
     Every run of ``length`` characters that two different records share lies within a span that has
     both as members, at those places; a span has at least two different records.  Spans overlap and
     repeat; see :func:`coverage` and :func:`pairs`.  Characters are code points, compared as they
     stand.  Null and short texts share nothing; rows of equal ``ident`` are one record; null idents
-    are left out; an empty table gives an empty one.
+    are left out; an empty table gives an empty one.  With ``aligned`` a span has the same
+    characters at all its places; see :func:`maximal`.
     """
     found = materialise(anchors(docs, ident, text, length, anchor), "anchors")
     several = found.groupBy("fp").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a != _b").select("fp")
@@ -293,7 +337,7 @@ def shared_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", len
     body = docs.where(F.col(ident).isNotNull() & (F.length(text) >= length)).select(F.col(ident).cast("long").alias("doc"), F.col(text).alias("_text"))
     texts = body.join(hint(wanted), "doc").select("fp", "h0", "h1", "n_texts", F.expr("substring(_text, start + 1, size)").alias("text")).dropDuplicates(["fp", "h0", "h1"])
     texts = materialise(texts, "texts")
-    members = texts.where(F.col("n_texts") <= max_texts).select("fp", "h0", "h1", "text").repartition("fp").sortWithinPartitions("fp").mapInPandas(_shard_members(length), _MEMBERS)
+    members = texts.where(F.col("n_texts") <= max_texts).select("fp", "h0", "h1", "text").repartition("fp").sortWithinPartitions("fp").mapInPandas(_shard_members(length, aligned), _MEMBERS)
     windows = texts.where(F.col("n_texts") > max_texts).select("fp", "h0", "h1", "text").repartition("fp", "h0", "h1").mapInPandas(_window_hashes(length), "fp long, k0 long, k1 long, h0 long, h1 long, first int")
     windows = windows.select("fp", F.xxhash64("k0", "k1").alias("key"), "h0", "h1", "first", (F.col("first") + length).cast("int").alias("last"))
     same = classes.where((F.col("rep.size") >= length) & (F.col("rep.doc") != F.col("_last"))).select("fp", F.lit(-1).cast("long").alias("key"), "h0", "h1", F.lit(0).alias("first"), F.col("rep.size").alias("last"))
@@ -321,6 +365,26 @@ def pairs(spans: DataFrame) -> DataFrame:
     return a.join(b, "span").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").unionByName(two).distinct()
 
 
+def maximal(aligned: DataFrame) -> DataFrame:
+    """``span, doc, first, last``: the two places of every maximal verbatim span that two records share.
+
+    A span goes as far in both directions as both records agree.  Pieces of a pair of records at
+    one offset that overlap or adjoin are one span.  There are as many rows as pairs of places
+    ask for, which is quadratic in the records of a formula.
+    """
+    a, b = (aligned.select("span", F.col("doc").alias(f"_{x}"), F.col("first").alias(f"_{x}0"), "last").withColumnRenamed("last", f"_{x}1") for x in "ab")
+    both = a.join(b, "span").where("_a < _b").select("_a", "_b", (F.col("_b0") - F.col("_a0")).alias("_off"), "_a0", "_a1")
+    key = ["_a", "_b", "_off"]
+    once = both.groupBy(*key, "_a0").agg(F.max("_a1").alias("_a1"))
+    w = W.partitionBy(*key).orderBy("_a0")
+    before = F.max("_a1").over(w.rowsBetween(W.unboundedPreceding, -1))
+    island = once.withColumn("_new", F.when(before >= F.col("_a0"), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w))
+    whole = island.groupBy(*key, "_island").agg(F.min("_a0").alias("_from"), F.max("_a1").alias("_to"))
+    span = F.concat_ws(":", "_a", "_from", "_b", F.col("_from") + F.col("_off")).alias("span")
+    place = lambda doc, off: F.struct(F.col(doc).alias("doc"), (F.col("_from") + off).cast("int").alias("first"), (F.col("_to") + off).cast("int").alias("last"))
+    return whole.select(span, F.explode(F.array(place("_a", F.lit(0)), place("_b", F.col("_off")))).alias("p")).select("span", "p.*")
+
+
 def coverage(spans: DataFrame) -> DataFrame:
     """``doc, first, last``: the shared spans of each record, overlapping and adjoining ones merged."""
     w = W.partitionBy("doc").orderBy("first", "last")
@@ -332,7 +396,7 @@ def coverage(spans: DataFrame) -> DataFrame:
 
 
 def shares(docs: DataFrame, cover: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``ident, n_chars, shared_chars, n_spans, share``: how much of every record also stands elsewhere; 0 for empty and null texts."""
+    """``ident, n_chars, shared_chars, n_spans, share``: how much of every record also stands elsewhere, and at how many places, merged ones counted once; 0 for empty and null texts."""
     per = cover.groupBy(F.col("doc").alias(ident)).agg(F.sum(F.col("last") - F.col("first")).alias("shared_chars"), F.count(F.lit(1)).alias("n_spans"))
     rows = docs.select(ident, F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars")).join(per, ident, "left")
     rows = rows.withColumns({"shared_chars": F.coalesce("shared_chars", F.lit(0)), "n_spans": F.coalesce("n_spans", F.lit(0))})

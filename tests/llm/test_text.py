@@ -174,3 +174,47 @@ def test_spans_on_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
     compare(spark, texts)
+
+
+def brute_maximal(texts, length):
+    """The two places of each match of two texts that goes no further."""
+    found = set()
+    ids = [i for i in sorted(texts) if texts[i]]
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            s, t = texts[a], texts[b]
+            for off in range(-len(s) + length, len(t) - length + 1):
+                p, n = max(0, -off), min(len(s), len(t) - off)
+                while p < n:
+                    q = p
+                    while q < n and s[q] == t[q + off]:
+                        q += 1
+                    if q - p >= length:
+                        found |= {(f"{a}:{p}:{b}:{p + off}", a, p, q), (f"{a}:{p}:{b}:{p + off}", b, p + off, q + off)}
+                    p = q + 1
+    return found
+
+
+def maximal(spark, texts, **kw):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = [tuple(r) for r in spans.maximal(spans.shared_spans(df, aligned=True, **kw)).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def test_two_neighbours_are_two_spans(spark):
+    """250 characters of one record and 250 of another beside each other are no span of 500."""
+    rng = random.Random(4)
+    y, z = "y" + mess(rng, 250), mess(rng, 250) + "z"
+    got = maximal(spark, {1: "-" + y[1:] + z[:-1] + "-", 2: y + "2", 3: "3" + z})
+    assert {r[1:] for r in got} == {(1, 1, 251), (2, 1, 251), (1, 251, 501), (3, 1, 251)} and len({r[0] for r in got}) == 2
+
+
+@pytest.mark.parametrize("most", [256, 3])
+def test_maximal_spans(spark, most):
+    rng = random.Random(most)
+    base = [mess(rng, rng.randint(20, 90)) for _ in range(5)]
+    texts = {i: mess(rng, rng.randint(0, 30)) + "".join(b[rng.randint(0, 5) : len(b) - rng.randint(0, 5)] for b in rng.sample(base, 3)) for i in range(14)}
+    texts |= {50: "a" * 60, 51: "b" + "a" * 30, 52: "ab" * 40, 53: "ab" * 14, 54: texts[0], 55: texts[0] + texts[1], 56: None, 57: ""}
+    want = brute_maximal(texts, 20)
+    assert len(want) > 50 and maximal(spark, texts, length=20, anchor=12, max_texts=most) == want
