@@ -312,6 +312,56 @@ def artifact_flag_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return Q.rounded(P.flag_accuracy(Q._flags(spark, d).where("sample_id = 'LBX00000'"), truth))
 
 
+# --- the same over all libraries, where a barcode is named by library and barcode ---
+
+_ONE = " WHERE sample_id = 'LBX00000'"
+
+
+def _key():
+    return F.concat("sample_id", F.lit("/"), "cell_barcode")
+
+
+def _all_cells(spark, d):
+    return Q.cells(spark, d).where("cell_barcode != ''").withColumns({"plain": F.col("cell_barcode"), "cell_barcode": _key()}).where("cell_barcode IS NOT NULL")
+
+
+def _all_truth(spark, d):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("sample_id", "cell_barcode").orderBy(F.desc("n_reads"), "category")
+    c = Q.counts(spark, d).where("sample_id IS NOT NULL AND cell_barcode != ''")
+    return c.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(_key().alias("cell_barcode"), F.col("category").alias("true_category"))
+
+
+@query("confusion_matrix_all", SQL["confusion_matrix"].replace(_ONE, ""))
+def confusion_matrix_all(spark: SparkSession, d: str) -> DataFrame:
+    """Assigned categories per true category over all libraries."""
+    return P.confusion_matrix(_all_cells(spark, d), _all_truth(spark, d))
+
+
+@query("per_category_accuracy_all", SQL["per_category_accuracy"].replace(_ONE, ""))
+def per_category_accuracy_all(spark: SparkSession, d: str) -> DataFrame:
+    """Diagonal over row sum over all libraries."""
+    return Q.rounded(P.category_accuracy(confusion_matrix_all(spark, d)))
+
+
+@query("noise_dose_response_all", SQL["noise_dose_response"].replace("SELECT cell_barcode,", "SELECT concat(sample_id, '/', cell_barcode) AS cell_barcode,").replace(_ONE + " AND", " WHERE"))
+def noise_dose_response_all(spark: SparkSession, d: str) -> DataFrame:
+    """Reported against assumed noise of every library's cells."""
+    c = _all_cells(spark, d)
+    return Q.rounded(P.dose_response(c, c.select("cell_barcode", ((F.ascii("plain") % 4) / 10.0).alias("true_noise"))))
+
+
+SQL["dose_sorted_all"], QUERIES["dose_sorted_all"] = SQL["noise_dose_response_all"], noise_dose_response_all
+
+
+@query("artifact_flag_accuracy_all", SQL["artifact_flag_accuracy"].replace("SELECT cell_barcode, 'n_tso'", "SELECT concat(sample_id, '/', cell_barcode) AS cell_barcode, 'n_tso'").replace(_ONE, ""))
+def artifact_flag_accuracy_all(spark: SparkSession, d: str) -> DataFrame:
+    """Observed over expected flags of every library's cells."""
+    truth = Q.once(spark, d).select(_key().alias("cell_barcode"), F.lit("n_tso").alias("flag"))
+    return Q.rounded(P.flag_accuracy(Q._flags(spark, d).withColumn("cell_barcode", _key()), truth))
+
+
 # --- figures ---
 
 _TOTALS = Q.ONCE + f", tot AS ({Q.SQL['sample_totals'][len(Q.ONCE):]})"

@@ -44,3 +44,9 @@ def test_whole_against_sql(spark, name):
 def test_fetched_against_sql(spark, name):
     """The run of A comes from the sequence."""
     assert against_sql(spark, name)
+
+
+def test_every_library(spark):
+    """The cells of all libraries are evaluated."""
+    assert len({r["cell_barcode"].split("/")[0] for r in against_sql(spark, "noise_dose_response_all")}) > 10
+    assert against_sql(spark, "per_category_accuracy_all") and against_sql(spark, "artifact_flag_accuracy_all")
