@@ -106,6 +106,22 @@ SELECT sample_id, run_day, category, {_SQL_ESTIMATE} FROM s, b GROUP BY sample_i
 """
 
 
+def p2_run_combinations(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct UMIs of the runs for every combination of library, day and category, from bitmaps made per worker run and then merged."""
+    rows = _run_umis(spark, d)
+    bits = bitmaps.log_bits(max(1, rows.count()), UMI_ERROR)
+    per_run = bitmaps.bitmaps(rows, ["worker_run", *KEYS2], "umi", bits)
+    every = bitmaps.merge_combinations(materialise(bitmaps.merge(per_run, KEYS2), "bitmaps"), KEYS2)
+    return bitmaps.estimate(every, [*KEYS2, "level"], bits).withColumn("n_distinct", F.round("n_distinct", 4))
+
+
+P2_RUN_COMBINATIONS = f"""
+WITH r AS (SELECT sample_id, run_day, category, upper(umi) AS umi FROM (SELECT sample_id, run_day, category, unnest(umi_set) AS umi FROM contig_results) u WHERE umi <> ''),
+{_sql_maps("r", _sql_bits("(SELECT greatest(1, count(*)) FROM r)"))}
+SELECT sample_id, run_day, category, CAST(grouping(sample_id, run_day, category) AS INT) AS level, {_SQL_ESTIMATE} FROM s, b GROUP BY CUBE (sample_id, run_day, category), m HAVING m IS NOT NULL
+"""
+
+
 # --- problem 4 ---
 
 
@@ -232,6 +248,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_combinations": p2_combinations,
     "p2_runs": p2_runs,
+    "p2_run_combinations": p2_run_combinations,
     "p4_length_sample": p4_length_sample,
     "p4_piecewise_sample": p4_piecewise_sample,
     "p4_parts_sample": p4_parts_sample,
@@ -246,4 +263,4 @@ QUERIES = {
     "p8_shares": p8_shares,
     "p8_spans": p8_spans,
 }
-SQL = {"p2_found": P2_FOUND, "p2_combinations": P2_COMBINATIONS, "p2_runs": P2_RUNS, "p5_found": P5_FOUND, "p5_percentiles": P5_PERCENTILES, "p5_bin_percentiles": P5_BIN_PERCENTILES}
+SQL = {"p2_found": P2_FOUND, "p2_combinations": P2_COMBINATIONS, "p2_runs": P2_RUNS, "p2_run_combinations": P2_RUN_COMBINATIONS, "p5_found": P5_FOUND, "p5_percentiles": P5_PERCENTILES, "p5_bin_percentiles": P5_BIN_PERCENTILES}

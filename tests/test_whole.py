@@ -50,3 +50,8 @@ def test_every_library(spark):
     """The cells of all libraries are evaluated."""
     assert len({r["cell_barcode"].split("/")[0] for r in against_sql(spark, "noise_dose_response_all")}) > 10
     assert against_sql(spark, "per_category_accuracy_all") and against_sql(spark, "artifact_flag_accuracy_all")
+
+
+def test_every_combination_of_runs(spark):
+    """All eight groupings of the runs' UMIs."""
+    assert {r["level"] for r in against_sql(spark, "p2_run_combinations")} == set(range(8))
