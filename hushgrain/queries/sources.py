@@ -96,6 +96,15 @@ def scan_fasta(spark: SparkSession, d: str) -> DataFrame:
     return text.fasta_chunks(head.unionByName(body).where("value != ''"))
 
 
+@query("scan_fasta_whole", duck("chunks") + " SELECT contig, chunk_id, seq FROM chunks")
+def scan_fasta_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same of all contigs and chunks."""
+    c = view(spark, d, "chunks").withColumn("at", F.substring("contig", 4, 9).cast("long") * (1 << 40))
+    head = c.where("chunk_id = 0").select(F.concat(F.lit(">"), "contig", F.lit(" x")).alias("value"), "at")
+    body = c.select(F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i"), "seq", "chunk_id", "at").select(F.lower(F.substring(F.col("seq"), F.col("i") * 61 + 1, F.lit(61))).alias("value"), (F.col("at") + F.col("chunk_id") * 10 + F.col("i") + 1).alias("at"))
+    return text.fasta_chunks(head.unionByName(body).where("value != ''"))
+
+
 _CB = "SELECT cb FROM alignments WHERE trim(cb) <> ''"
 
 

@@ -55,3 +55,9 @@ def test_every_library(spark):
 def test_every_combination_of_runs(spark):
     """All eight groupings of the runs' UMIs."""
     assert {r["level"] for r in against_sql(spark, "p2_run_combinations")} == set(range(8))
+
+
+def test_every_contig_and_chunk(spark):
+    """Five contigs of 782 chunks, not two of 200."""
+    rows = against_sql(spark, "scan_fasta_whole")
+    assert {r["contig"] for r in rows} == {f"chr{i}" for i in range(1, 6)} and len(rows) == 5 * 782
