@@ -47,16 +47,22 @@ def is_novel(strand_consistent: Column, n_barcodes: Column, least: Column, splic
     return strand_consistent & (n_barcodes >= least) & (splice | near_site)
 
 
-def score(found: DataFrame, recs: DataFrame, keys: list[str], intergenic_bases: int, repeats: DataFrame | None = None, sites: DataFrame | None = None, polya_run: Column | None = None, alpha: float = C.LOCUS_ALPHA) -> DataFrame:
+def score(found: DataFrame, recs: DataFrame, keys: list[str], intergenic_bases: int, repeats: DataFrame | None = None, sites: DataFrame | None = None, polya_run: Column | None = None, alpha: float = C.LOCUS_ALPHA, barcodes: DataFrame | None = None) -> DataFrame:
     """Loci with p-values and category.
 
     A repeat decides whatever the significance; then insignificant loci are sparse; then hotspot, novel,
     and hotspot for the rest.  ``polya_run`` tells of a run of A downstream (none without a reference).
+    ``barcodes`` has ``keys`` and ``cell_barcode`` of all the sample's reads, by which the least number of
+    barcodes goes; a sample that it lacks goes by its records.
     """
     per = recs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_records"))
     bars = recs.select(*keys, "cell_barcode").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_barcodes"))
     tests = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tests"))
     sample = per.join(bars, keys).join(tests, keys) if keys else per.join(F.broadcast(bars)).join(F.broadcast(tests))
+    if barcodes is not None:
+        every = barcodes.select(*keys, F.coalesce("cell_barcode", F.lit("")).alias("_b")).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_every"))
+        sample = sample.join(every, keys, "left") if keys else sample.join(F.broadcast(every))
+        sample = sample.withColumn("_barcodes", F.greatest("_barcodes", "_every")).drop("_every")
     df = found.join(sample, keys) if keys else found.join(F.broadcast(sample))
     lam = F.col("_records") / F.lit(float(intergenic_bases)) * F.greatest(F.col("end_pos") - F.col("start_pos"), F.lit(1)) if intergenic_bases > 0 else F.lit(0.0)
     df = df.withColumn("expected", lam).withColumn("poisson_pvalue", F.when(F.col("expected") > 0, poisson_tail("n_reads", "expected")).otherwise(1.0))

@@ -96,7 +96,7 @@ def run_sample(spark: SparkSession, reads: DataFrame, s: Settings, index: dict[s
         places, run = intergenic.loci(clustered, keys), None
         if chunks is not None:
             places, run = sequence.fetch(places, chunks, "contig", "modal_three_prime", C.POLYA_WINDOW, CHUNK), R.has_a_run("bases")
-        found = materialise(intergenic.score(places, recs, keys, bases, repeats, sites, run).drop("bases"), "loci")
+        found = materialise(intergenic.score(places, recs, keys, bases, repeats, sites, run, barcodes=counts).drop("bases"), "loci")
         umis = counts.select(*keys, "cell_barcode", "category", "n_umis")
         moved = intergenic.reallocate(counts, clustered, found, keys)
         counts = materialise(moved.join(umis, [*keys, "cell_barcode", "category"], "left").withColumn("n_umis", F.coalesce("n_umis", F.lit(0))), "counts")

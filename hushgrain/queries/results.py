@@ -75,7 +75,8 @@ def scored(spark: SparkSession, d: str, r: DataFrame | None = None, fetched: boo
     found, run = materialise(G.loci(G.cluster(r, S), S), "loci"), F.col("modal_three_prime") % 2 == 0
     if fetched:
         found, run = sequence.fetch(found, view(spark, d, "chunks"), "contig", "modal_three_prime", C.POLYA_WINDOW, CHUNK), R.has_a_run("bases")
-    return G.score(found, r, S, bases, repeats, sites, run)
+    every = table(spark, d, "alignments").where("qname IS NOT NULL").select(*S, names.barcode(F.col("cb")).alias("cell_barcode"))
+    return G.score(found, r, S, bases, repeats, sites, run, barcodes=every)
 
 
 @query("record_extract", RECORDS + " SELECT * FROM rec")

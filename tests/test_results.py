@@ -122,3 +122,15 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("hg_counts").collect()] == [("c", 2, 10)]
+
+
+def test_least_barcodes_of_all_reads(spark):
+    """Of 50,000 barcodes a locus needs 5, however few of them have intergenic reads."""
+    r = records(spark, [("few", 10_000, 20, 4, "+", True), ("many", 90_000, 20, 5, "+", True)]).withColumn("sample_id", F.lit("a"))
+    found = intergenic.loci(intergenic.cluster(r, ["sample_id"]), ["sample_id"])
+    every = spark.range(50_000).select(F.lit("a").alias("sample_id"), F.concat(F.lit("cb"), "id").alias("cell_barcode"))
+    for barcodes, want in ((every, {10_000: "sparse", 90_000: "novel"}), (every.where("sample_id = 'x'"), {10_000: "novel", 90_000: "novel"})):
+        got = intergenic.score(found, r, ["sample_id"], 2_000_000_000, barcodes=barcodes).collect()
+        assert {x.start_pos: x.category[11:] for x in got} == want
+    whole = intergenic.score(found.drop("sample_id"), r.drop("sample_id"), [], 2_000_000_000, barcodes=every.drop("sample_id")).collect()
+    assert {x.start_pos: x.min_barcodes for x in whole} == {10_000: 5, 90_000: 5}
