@@ -1,8 +1,8 @@
 """Classification of reads by the annotation layers under their blocks.
 
 One range join of blocks with all layers gives each block's bases per layer; the rest is
-column arithmetic.  Rows are spread by read once, and the three aggregations after it
-(per block, per read and category, per read) keep that partitioning.
+column arithmetic.  Only overlaps leave the join; they are spread by read once, and the three
+aggregations after it (per block, per read and category, per read) keep that partitioning.
 """
 
 from __future__ import annotations
@@ -20,16 +20,11 @@ _RENAMED = 1 << 40
 
 def block_bases(blocks: DataFrame, layers: DataFrame, width: int = intervals.BIN) -> DataFrame:
     """``read_id, block, s, e`` and the bases per layer, multiplicity kept.  ``blocks`` has ``read_id, block, contig, strand, s, e``."""
-    hits = intervals.overlaps(blocks, layers, ["contig"], width, "left").repartition("read_id")
-    same = F.col("strand") == F.col("layer_strand")
-
-    def total(test):
-        return F.sum(F.when(test, F.col("bases")).otherwise(0))
-
-    exon, intron = F.col("layer") == "exon", F.col("layer") == "intron"
-    return hits.groupBy("read_id", "block", "s", "e").agg(
-        total(F.col("layer") == "shared_cod_cod").alias("cc"), total(F.col("layer") == "shared_cod_ncod").alias("cn"), total(exon & same).alias("n_sense"), total(exon & ~same).alias("n_anti"), total(intron).alias("intronic")
-    )
+    exon, same = F.col("layer") == "exon", F.col("strand") == F.col("layer_strand")
+    kinds = {"cc": F.col("layer") == "shared_cod_cod", "cn": F.col("layer") == "shared_cod_ncod", "n_sense": exon & same, "n_anti": exon & ~same, "intronic": F.col("layer") == "intron"}
+    which = F.coalesce(*[F.when(test, i) for i, test in enumerate(kinds.values())])
+    hits = intervals.overlaps(blocks, layers, ["contig"], width, "left").select("read_id", "block", "s", "e", which.alias("_kind"), "bases").repartition("read_id")
+    return hits.groupBy("read_id", "block", "s", "e").agg(*[F.sum(F.when(F.col("_kind") == i, F.col("bases")).otherwise(0)).alias(n) for i, n in enumerate(kinds)])
 
 
 def tally(bases: DataFrame) -> DataFrame:
@@ -75,7 +70,8 @@ def classify(reads: DataFrame, layers: DataFrame, whitelist: DataFrame | None =
     """Every primary read with ``cell_barcode, category, base_counts, read_length`` and the artifact flags.
 
     ``reads`` needs ``read_id`` (unique), ``contig, pos, strand, flag, cigar, seq, cb, umi, nh, sa`` and, if ``paired``,
-    ``next_contig, tlen``.  Rows that the rules decide never enter the range join.
+    ``next_contig, tlen``.  Rows that the rules decide never enter the range join.  Without ``chunks`` no read is
+    primed at a run of A, without ``splice_sites`` none has a junction that is unknown.
     """
     decided = cascade.decide(reads.withColumn("read_length", R.aligned_length()), whitelist, paired, distance)
     rest = decided.where(F.col("decided") == cascade.UNDECIDED).withColumn("blocks", R.blocks()).withColumn("n_junctions", F.size(R.junctions())).withColumn("n_blocks", F.size("blocks"))

@@ -2,8 +2,8 @@
 
 Everything is built from windows and equi-joins.  Range joins go through position bins:
 both sides are cut at bin borders, so overlaps within bins add up to the whole without
-removing duplicates.  Islands are found within bins first and stitched over the far fewer
-partial islands, so that no task sorts all intervals of a hot contig.
+removing duplicates.  Islands are found among distinct starts within bins first and stitched over the far fewer
+partial islands, so that no task sorts all intervals of a hot contig or bin.
 
 Rows with a null bound or ``e <= s`` are no intervals and are left out.  Bookended
 intervals merge.  Empty tables give empty tables.
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hushgrain.storage import lookup_join
+from hushgrain.storage import lookup_join, materialise
 
 #: Bases in a bin of range joins and of partial islands.
 BIN = 1 << 14
@@ -26,15 +26,20 @@ def _valid(df: DataFrame, s: str = "s", e: str = "e") -> DataFrame:
     return df.where(F.col(s) < F.col(e))
 
 
-def islands(df: DataFrame, keys: list[str], gap: int = 0, aggs: list[Column] | None = None, final: list[Column] | None = None, island_bin: int = ISLAND_BIN) -> DataFrame:
-    """Merge intervals of equal keys that overlap or lie at most ``gap`` apart: ``keys..., s, e``.
+def islands(df: DataFrame, keys: list[str], gap: int = 0, island_bin: int = ISLAND_BIN) -> DataFrame:
+    """Merge intervals of equal keys that overlap or lie at most ``gap`` apart: ``keys..., s, e``.  Null keys are a key of their own."""
+    part = _partial(df, keys, gap, island_bin).groupBy(*keys, "_bin", "_island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return _runs(part, keys, gap).groupBy(*keys, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_island")
 
-    ``aggs`` adds aggregates over the rows of a partial island, ``final`` aggregates over
-    those (as sums of counts).  Null keys are a key of their own.
+
+def _partial(df: DataFrame, keys: list[str], gap: int, island_bin: int) -> DataFrame:
+    """The farthest end from each start, numbered by runs within bins.
+
+    Rows of equal start are one before any window sees them, so a window holds at most as
+    many rows as its bin has bases, however many intervals gather there.
     """
-    rows = _valid(df).withColumn("_bin", F.expr(f"s div {island_bin}"))
-    part = _runs(rows, [*keys, "_bin"], gap).groupBy(*keys, "_bin", "_island").agg(F.min("s").alias("s"), F.max("e").alias("e"), *(aggs or []))
-    return _runs(part, keys, gap).groupBy(*keys, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e"), *(final or [])).drop("_island")
+    starts = _valid(df).withColumn("_bin", F.expr(f"s div {island_bin}")).groupBy(*keys, "_bin", "s").agg(F.max("e").alias("e"))
+    return _runs(starts, [*keys, "_bin"], gap)
 
 
 def _runs(df: DataFrame, keys: list[str], gap: int) -> DataFrame:
@@ -44,18 +49,38 @@ def _runs(df: DataFrame, keys: list[str], gap: int) -> DataFrame:
     return df.withColumn("_new", F.when(F.col("s") <= before + gap, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w)).drop("_new")
 
 
+def _keyed(keys: list[str]) -> dict[str, Column]:
+    """Keys in a form that equality finds, null ones as well."""
+    return {f"_k{i}": F.struct(F.col(f"`{c}`").alias("v")) for i, c in enumerate(keys)}
+
+
 def label_islands(df: DataFrame, keys: list[str], gap: int, into: str = "locus_id", island_bin: int = ISLAND_BIN) -> DataFrame:
-    """Each row with the island it belongs to, and the island's number within its keys."""
-    rows = _runs(_valid(df).withColumn("_bin", F.expr(f"s div {island_bin}")), [*keys, "_bin"], gap).withColumnRenamed("_island", "_local")
-    part = rows.groupBy(*keys, "_bin", "_local").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    whole = _runs(part, keys, gap).select(*keys, "_bin", "_local", F.col("_island").alias(into))
-    return rows.join(whole, [*keys, "_bin", "_local"]).drop("_bin", "_local")
+    """Each row with the island it belongs to, and the island's number within its keys.
 
+    Islands are found among distinct starts; rows look theirs up by start.
+    """
+    starts = _partial(df, keys, gap, island_bin).withColumnRenamed("_island", "_local")
+    part = starts.groupBy(*keys, "_bin", "_local").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    whole = _runs(part, keys, gap).withColumn(into, F.col("_island")).withColumns(_keyed(keys)).select(*_keyed(keys), "_bin", "_local", into)
+    at = [*_keyed(keys), "s"]
+    found = materialise(starts.withColumns(_keyed(keys)).select(*at, "_bin", "_local").join(whole, [*_keyed(keys), "_bin", "_local"]).select(*at, into), "starts")
+    return lookup_join(_valid(df).withColumns(_keyed(keys)), found, at).select(*df.columns, into)
 
-def running_max(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Sorted intervals with the running maximum of their ends: ``keys..., s, e, max_end``."""
-    w = W.partitionBy(*keys).orderBy("s", "e")
-    return _valid(df).withColumn("max_end", F.max("e").over(w))
+
+def running_max(df: DataFrame, keys: list[str], island_bin: int = ISLAND_BIN) -> DataFrame:
+    """Intervals with the running maximum of the ends in the order of ``s, e``: the row's columns and ``max_end``.
+
+    Ends are folded per start, then within bins and over bins, so no window sees a whole contig's rows.
+    """
+    rows = _valid(df).withColumns(_keyed(keys))
+    k = list(_keyed(keys))
+    starts = rows.groupBy(*k, F.expr(f"s div {island_bin}").alias("_bin"), "s").agg(F.max("e").alias("_top"))
+    over = W.partitionBy(*k).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = starts.groupBy(*k, "_bin").agg(F.max("_top").alias("_top")).select(*k, "_bin", F.max("_top").over(over).alias("_b0"))
+    within = W.partitionBy(*k, "_bin").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    before = materialise(starts.withColumn("_b1", F.max("_top").over(within)).join(bins, [*k, "_bin"]).select(*k, "s", F.greatest("_b0", "_b1").alias("_before")), "ends")
+    # of rows of one start the ends rise, so a row's own end is the largest so far among them
+    return lookup_join(rows, before, [*k, "s"]).select(*df.columns, F.greatest("_before", "e").alias("max_end"))
 
 
 def complement(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,15 +100,15 @@ def overlaps(left: DataFrame, right: DataFrame, on: list[str], width: int = BIN,
     """Pairs of overlapping rows cut at bin borders: left's columns, right's others, and ``bases``.
 
     ``right`` has ``on``, ``s`` and ``e`` and columns of its own; its bounds are ``_s`` and ``_e``.
-    Sums of ``bases`` over a pair are the pair's overlap.  ``how`` is ``inner`` or ``left``.
+    Sums of ``bases`` over a pair are the pair's overlap.  ``how`` is ``inner`` or ``left``.  The
+    overlap is a condition of the match, so neighbours in a bin never leave the join; a small right side is
+    broadcast, a large one is salted against bins that hold a large part of the left one.
     """
     r = _binned(_valid(right).withColumnsRenamed({"s": "_s", "e": "_e"}), width, "_s", "_e")
-    left_rows = _binned(_valid(left), width)
+    # both touch the bin and each other, so they overlap within it
+    j = lookup_join(_binned(_valid(left), width), r, [*on, "_bin"], how, where=(F.col("_s") < F.col("e")) & (F.col("_e") > F.col("s")))
     start, stop = F.greatest("s", "_s", F.col("_bin") * width), F.least("e", "_e", (F.col("_bin") + 1) * width)
-    if how == "left":
-        j = left_rows.join(r, [*on, "_bin"], "left")
-        return j.withColumn("bases", F.when(F.col("_s").isNull(), 0).otherwise(F.greatest(F.lit(0), stop - start))).drop("_bin")
-    return left_rows.join(r, [*on, "_bin"]).withColumn("bases", stop - start).where("bases > 0").drop("_bin")
+    return j.withColumn("bases", F.when(F.col("_s").isNull(), 0).otherwise(stop - start)).drop("_bin")
 
 
 def overlap_bases(left: DataFrame, right: DataFrame, ident: list[str], on: list[str], width: int = BIN) -> DataFrame:

@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 
 from hushgrain import constants as C
 from hushgrain.functions import reads as R
+from hushgrain.storage import lookup_join
 
 
 def fetch(df: DataFrame, chunks: DataFrame, contig: str, pos: str, width: int, chunk: int) -> DataFrame:
     """Add ``bases``: ``width`` bases (at most a chunk) from ``pos`` on, upper case, fewer at the end, ``''`` where unknown.
 
     ``chunks`` is ``contig, chunk_id, seq`` of ``chunk`` bases each.  Every chunk is given the
-    head of its successor first, so one equi-join finds a window that crosses a boundary.
+    head of its successor first, so one equi-join finds a window that crosses a boundary.  The
+    lookup is broadcast or salted, since the reads of a gene gather at one chunk.
     """
     if width > chunk:
         raise ValueError("a window must not exceed a chunk")
     own = chunks.select(F.col("contig").alias("_c"), F.col("chunk_id").cast("long").alias("_i"), F.upper("seq").alias("_s"))
     following = own.select("_c", (F.col("_i") - 1).alias("_i"), F.substring("_s", 1, width).alias("_n"))
     wide = own.join(following, ["_c", "_i"], "left").select("_c", "_i", F.concat("_s", F.coalesce("_n", F.lit(""))).alias("_w"))
-    at = F.expr(f"`{pos}` div {chunk}")
-    found = df.join(wide, (F.col(contig) == F.col("_c")) & (at == F.col("_i")), "left")
+    found = lookup_join(df.withColumns({"_c": F.col(contig), "_i": F.expr(f"`{pos}` div {chunk}")}), wide, ["_c", "_i"], "left")
     bases = F.coalesce(F.substring(F.col("_w"), (F.col(pos) % chunk + 1).cast("int"), F.lit(width)), F.lit(""))
     return found.withColumn("bases", bases).drop("_c", "_i", "_w")
 
@@ -41,7 +42,7 @@ def splice_sites(exons: DataFrame) -> DataFrame:
 
 def with_known(junctions: DataFrame, sites: DataFrame) -> DataFrame:
     """Add ``is_known``: the junction starts at a splice site of its contig and strand."""
-    return junctions.join(sites.withColumn("_k", F.lit(True)), ["contig", "strand", "junction"], "left").withColumn("is_known", F.col("_k").isNotNull()).drop("_k")
+    return lookup_join(junctions, sites.withColumn("_k", F.lit(True)), ["contig", "strand", "junction"], "left").withColumn("is_known", F.col("_k").isNotNull()).drop("_k")
 
 
 def select_contigs(contigs: DataFrame, least: int = C.MIN_CONTIG_LENGTH) -> DataFrame:

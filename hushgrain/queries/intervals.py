@@ -223,10 +223,10 @@ CLASSIFIED_SQL = _LAYERS + _CLASSIFIED
 _ALL_BASES = ", allb AS (SELECT read_id, category, bases FROM bas UNION ALL SELECT read_id, category, read_length FROM cls WHERE read_id NOT IN (SELECT read_id FROM rest_))"
 
 
-def classified(spark: SparkSession, d: str) -> DataFrame:
-    """All primary reads of the derived tables with category, bases and flags."""
+def classified(spark: SparkSession, d: str, flags: bool = False) -> DataFrame:
+    """All primary reads of the derived tables with category and bases, and with ``flags`` those that need the sequence."""
     index = _index(spark, d)
-    return classify.classify(view(spark, d, "reads"), A.tagged(index), Q._whitelist(spark, d), True, index["splice_sites"], view(spark, d, "chunks"), CHUNK)
+    return classify.classify(view(spark, d, "reads"), A.tagged(index), Q._whitelist(spark, d), True, index["splice_sites"] if flags else None, view(spark, d, "chunks") if flags else None, CHUNK)
 
 
 def _blocks(spark, d):
@@ -292,4 +292,4 @@ def no_blocks(spark: SparkSession, d: str) -> DataFrame:
 @query("artifact_flags")
 def artifact_flags(spark: SparkSession, d: str) -> DataFrame:
     """Artifact flags per cell (checked against their single-read queries in the tests)."""
-    return classified(spark, d).groupBy("cell_barcode").agg(F.count_if("is_tso").alias("n_tso"), F.count_if("is_polya").alias("n_polya"), F.count_if("is_noncanon").alias("n_noncanon"))
+    return classified(spark, d, flags=True).groupBy("cell_barcode").agg(F.count_if("is_tso").alias("n_tso"), F.count_if("is_polya").alias("n_polya"), F.count_if("is_noncanon").alias("n_noncanon"))

@@ -34,7 +34,8 @@ def query(name: str, sql: str | None = None):
 
 
 _NAMES = "SELECT name_key, min(contig) AS canonical FROM (SELECT upper(contig) AS name_key, contig FROM contigs UNION ALL SELECT upper(ensembl_name), contig FROM contigs) u GROUP BY name_key"
-RECORDS = f"""WITH rec AS (SELECT DISTINCT qname, sample_id, canonical AS contig, start_pos + d_ AS start_pos, end_pos + d_ AS end_pos, strand, coalesce(regexp_replace(upper(cell_barcode), '-1$', ''), '') AS cell_barcode, coalesce(has_junction, false) AS has_junction, three_prime + d_ AS three_prime
+_MODAL = "SELECT sample_id AS s_, contig, strand AS t_, locus_id AS l_, modal_three_prime AS pos_at FROM mod"
+RECORDS = duck("chunks") + f""", rec AS (SELECT DISTINCT qname, sample_id, canonical AS contig, start_pos + d_ AS start_pos, end_pos + d_ AS end_pos, strand, coalesce(regexp_replace(upper(cell_barcode), '-1$', ''), '') AS cell_barcode, coalesce(has_junction, false) AS has_junction, three_prime + d_ AS three_prime
   FROM (SELECT *, CASE WHEN start_pos % 3 = 0 THEN (start_pos % 2) * 1000000 + start_pos % 400 - start_pos ELSE 0 END AS d_ FROM intergenic_reads) i JOIN ({_NAMES}) n ON upper(contig) = name_key),
 iv AS (SELECT *, start_pos AS s, greatest(end_pos, start_pos + 1) AS e FROM rec),
 lab AS (SELECT *, sum(n_) OVER (PARTITION BY sample_id, contig, strand ORDER BY s, e) AS locus_id FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY sample_id, contig, strand ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 500 THEN 0 ELSE 1 END AS n_ FROM iv) x),
@@ -45,9 +46,10 @@ smp AS (SELECT sample_id, count(*) AS n_rec, count(DISTINCT cell_barcode) AS n_b
 tst AS (SELECT sample_id, count(*) AS n_tests FROM loc GROUP BY 1),
 rep AS (SELECT DISTINCT contig, (start_pos // 100000) * 100000 + 50000 AS s, (start_pos // 100000) * 100000 + 53000 AS e FROM rec),
 sit AS (SELECT DISTINCT contig, three_prime AS pos FROM rec WHERE three_prime % 5 = 0),
+ctx AS ({_fetch_sql(_MODAL, C.POLYA_WINDOW)}),
 lam AS (SELECT l.*, m.modal_three_prime, n_tests, n_rec / CAST({_BASES} AS DOUBLE) * greatest(end_pos - start_pos, 1) AS expected, greatest(3, CAST(floor(n_bar * 0.0001) AS INT)) AS min_barcodes FROM loc l JOIN mod m USING (sample_id, contig, strand, locus_id) JOIN smp USING (sample_id) JOIN tst USING (sample_id)),
 prob AS (SELECT *, CASE WHEN expected > 0 THEN 1 - list_sum(list_transform(range(0, n_reads), lambda k: exp(-expected + k * ln(expected) - lgamma(k + 1)))) ELSE 1.0 END AS p FROM lam),
-sig AS (SELECT *, least(p * n_tests, 1) < 0.01 AND n_reads >= 5 AND n_barcodes >= min_barcodes AS significant, modal_three_prime % 2 = 0 AS polya_run,
+sig AS (SELECT *, least(p * n_tests, 1) < 0.01 AND n_reads >= 5 AND n_barcodes >= min_barcodes AS significant, EXISTS (SELECT 1 FROM ctx WHERE ctx.s_ = prob.sample_id AND ctx.contig = prob.contig AND ctx.t_ = prob.strand AND ctx.l_ = prob.locus_id AND contains(ctx.bases, '{'A' * C.POLYA_RUN}')) AS polya_run,
   EXISTS (SELECT 1 FROM sit WHERE sit.contig = prob.contig AND sit.pos BETWEEN modal_three_prime - 50 AND modal_three_prime + 50) AS near_polya_site, EXISTS (SELECT 1 FROM rep WHERE rep.contig = prob.contig AND rep.s < end_pos AND rep.e > start_pos) AS overlaps_repeat FROM prob),
 dec AS (SELECT *, CASE WHEN overlaps_repeat THEN 'intergenic_repeat' WHEN NOT significant THEN 'intergenic_sparse' WHEN NOT has_splice_evidence AND polya_run THEN 'intergenic_hotspot' WHEN n_barcodes >= min_barcodes AND (has_splice_evidence OR near_polya_site) THEN 'intergenic_novel' ELSE 'intergenic_hotspot' END AS category FROM sig)"""
 _PLACE = "sample_id, contig, strand, start_pos, end_pos"
@@ -66,17 +68,23 @@ def _loci(spark, d):
     return G.loci(G.cluster(recs(spark, d), S), S)
 
 
-def scored(spark: SparkSession, d: str, r: DataFrame | None = None, fetched: bool = False) -> DataFrame:
-    """Loci with category.  The run of A is an even 3' end, as in the SQL, or, if ``fetched``, looked up in the sequence."""
+def scored(spark: SparkSession, d: str, r: DataFrame | None = None, clustered: DataFrame | None = None) -> DataFrame:
+    """Loci with category; the run of A is looked up in the sequence."""
     r = materialise(recs(spark, d), "records") if r is None else r
     bases = table(spark, d, "contigs").agg(F.sum("contig_length")).first()[0]
     repeats = r.select("contig", F.expr("(start_pos div 100000) * 100000 + 50000").alias("s")).distinct().withColumn("e", F.col("s") + 3000)
     sites = r.where("three_prime % 5 = 0").select("contig", F.col("three_prime").alias("pos")).distinct()
-    found, run = materialise(G.loci(G.cluster(r, S), S), "loci"), F.col("modal_three_prime") % 2 == 0
-    if fetched:
-        found, run = sequence.fetch(found, view(spark, d, "chunks"), "contig", "modal_three_prime", C.POLYA_WINDOW, CHUNK), R.has_a_run("bases")
+    found = materialise(G.loci(G.cluster(r, S) if clustered is None else clustered, S), "loci")
+    found = sequence.fetch(found, view(spark, d, "chunks"), "contig", "modal_three_prime", C.POLYA_WINDOW, CHUNK)
     every = table(spark, d, "alignments").where("qname IS NOT NULL").select(*S, names.barcode(F.col("cb")).alias("cell_barcode"))
-    return G.score(found, r, S, bases, repeats, sites, run, barcodes=every)
+    return G.score(found, r, S, bases, repeats, sites, R.has_a_run("bases"), barcodes=every)
+
+
+def _moved(spark, d, counts):
+    """Counts after reallocation; records and their clusters are made once."""
+    r = materialise(recs(spark, d), "records")
+    clustered = materialise(G.cluster(r, S), "clustered")
+    return G.reallocate(counts, clustered, scored(spark, d, r, clustered), S)
 
 
 @query("record_extract", RECORDS + " SELECT * FROM rec")
@@ -148,39 +156,9 @@ al AS (SELECT sample_id, cell_barcode, category, n_reads, n_bases FROM cnt UNION
 @query("intergenic_reallocate", _MOVES + " SELECT sample_id, cell_barcode, category, CAST(sum(n_reads) AS BIGINT) AS n_reads, CAST(sum(n_bases) AS BIGINT) AS n_bases FROM al GROUP BY 1, 2, 3")
 def intergenic_reallocate(spark: SparkSession, d: str) -> DataFrame:
     """Counts after sparse reads moved to their loci's categories."""
-    r = materialise(recs(spark, d), "records")
-    return G.reallocate(Q.counts(spark, d), G.cluster(r, S), scored(spark, d, r), S)
-
-
-# --- the same with the run of A looked up in the sequence ---
-
-_SRC = "SELECT sample_id AS s_, contig, strand AS t_, locus_id AS l_, modal_three_prime AS pos_at FROM mod"
+    return _moved(spark, d, Q.counts(spark, d))
 
 
-def _fetched_sql(sql: str) -> str:
-    """A query's SQL with the sequence in the place of an even 3' end."""
-    run = f"EXISTS (SELECT 1 FROM ctx WHERE ctx.s_ = prob.sample_id AND ctx.contig = prob.contig AND ctx.t_ = prob.strand AND ctx.l_ = prob.locus_id AND contains(ctx.bases, '{'A' * C.POLYA_RUN}'))"
-    sql = sql.replace("sig AS (", f"ctx AS ({_fetch_sql(_SRC, C.POLYA_WINDOW)}),\nsig AS (", 1).replace("modal_three_prime % 2 = 0 AS polya_run", f"{run} AS polya_run")
-    return duck("chunks") + ", " + sql.removeprefix("WITH ")
-
-
-def _fetched(name: str, run) -> None:
-    QUERIES[f"{name}_fetched"], SQL[f"{name}_fetched"] = run, _fetched_sql(SQL[name])
-
-
-_fetched("polya_context", lambda spark, d: scored(spark, d, fetched=True).where("polya_run_downstream").select(*_PLACE.split(", "), "polya_run_downstream"))
-_fetched("locus_decision", lambda spark, d: scored(spark, d, fetched=True).select(*_PLACE.split(", "), "category", "near_polya_site", "overlaps_repeat"))
-_fetched("is_hotspot", lambda spark, d: scored(spark, d, fetched=True).where("category = 'intergenic_hotspot'").select(*_PLACE.split(", ")))
-_fetched("is_novel", lambda spark, d: scored(spark, d, fetched=True).where("category = 'intergenic_novel'").select(*_PLACE.split(", ")))
-
-
-def _reallocate_fetched(spark, d):
-    r = materialise(recs(spark, d), "records")
-    return G.reallocate(Q.counts(spark, d), G.cluster(r, S), scored(spark, d, r, fetched=True), S)
-
-
-_fetched("intergenic_reallocate", _reallocate_fetched)
-
 SQL["sequential_rounded_move"] = _MOVES + " SELECT sample_id, cell_barcode, category, n_reads, n_bases FROM mo WHERE n_reads > 0 OR n_bases > 0"
 
 
@@ -188,8 +166,7 @@ SQL["sequential_rounded_move"] = _MOVES + " SELECT sample_id, cell_barcode, cate
 def sequential_rounded_move(spark: SparkSession, d: str) -> DataFrame:
     """What each category was given."""
     c = materialise(Q.counts(spark, d), "counts")
-    r = materialise(recs(spark, d), "records")
-    new = G.reallocate(c, G.cluster(r, S), scored(spark, d, r), S).where("category != 'intergenic_sparse'")
+    new = _moved(spark, d, c).where("category != 'intergenic_sparse'")
     k = [*S, "cell_barcode", "category"]
     j = new.join(c.select(*k, F.col("n_reads").alias("r0"), F.col("n_bases").alias("b0")), k, "left")
     out = j.select(*k, (F.col("n_reads") - F.coalesce("r0", F.lit(0))).alias("n_reads"), (F.col("n_bases") - F.coalesce("b0", F.lit(0))).alias("n_bases"))
@@ -260,105 +237,57 @@ def metrics_full_outer(spark: SparkSession, d: str) -> DataFrame:
 SQL["key_union"] = Q.ONCE + f", {_SIDE_ROW} SELECT DISTINCT metric FROM u"
 QUERIES["key_union"] = lambda spark, d: metrics_full_outer(spark, d).select("metric").distinct()
 
-# --- evaluation: each barcode's true category is its most frequent one, by name on ties ---
+# --- evaluation over all libraries, a cell named by library and barcode; its true category is its most frequent one, by name on ties ---
 
 _TRUTH = "truth AS (SELECT sample_id, cell_barcode, category AS true_category FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, cell_barcode ORDER BY n_reads DESC, category) AS rn FROM cnt) x WHERE rn = 1 AND cell_barcode <> '')"
 
 
-def _one_cells(spark, d):
-    """Cells of one library, so that a barcode is one row."""
-    return Q.cells(spark, d).where("sample_id = 'LBX00000'")
+def _key():
+    return F.concat("sample_id", F.lit("/"), "cell_barcode")
 
 
-def _truth(spark, d):
-    from pyspark.sql import Window as W
+def _cells(spark, d):
+    return Q.cells(spark, d).where("cell_barcode != ''").withColumns({"plain": F.col("cell_barcode"), "cell_barcode": _key()}).where("cell_barcode IS NOT NULL")
+
 
-    w = W.partitionBy("cell_barcode").orderBy(F.desc("n_reads"), "category")
-    c = Q.counts(spark, d).where("sample_id = 'LBX00000' AND cell_barcode != ''")
-    return c.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("cell_barcode", F.col("category").alias("true_category"))
+def _truth(spark, d):
+    c = Q.counts(spark, d).where("sample_id IS NOT NULL AND cell_barcode != ''")
+    most = c.groupBy("sample_id", "cell_barcode").agg(F.min_by("category", F.struct(-F.col("n_reads"), "category")).alias("true_category"))
+    return most.select(_key().alias("cell_barcode"), "true_category")
 
 
-_MATRIX = Q.CELLS + f", {_TRUTH}, mat AS (SELECT true_category, {', '.join(f'CAST(sum(CAST(round_even(read_frac_{c} * n_reads, 0) AS BIGINT)) AS BIGINT) AS {c}' for c in C.CATEGORY_ORDER)} FROM cells JOIN truth USING (sample_id, cell_barcode) WHERE sample_id = 'LBX00000' GROUP BY 1)"
+_MATRIX = Q.CELLS + f", {_TRUTH}, mat AS (SELECT true_category, {', '.join(f'CAST(sum(CAST(round_even(read_frac_{c} * n_reads, 0) AS BIGINT)) AS BIGINT) AS {c}' for c in C.CATEGORY_ORDER)} FROM cells JOIN truth USING (sample_id, cell_barcode) GROUP BY 1)"
 
 
 @query("confusion_matrix", _MATRIX + " SELECT * FROM mat")
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Assigned categories per true category."""
-    return P.confusion_matrix(_one_cells(spark, d), _truth(spark, d))
+    return P.confusion_matrix(_cells(spark, d), _truth(spark, d))
 
 
 _RIGHT = "CASE true_category " + " ".join(f"WHEN '{c}' THEN {c}" for c in C.CATEGORY_ORDER) + " ELSE 0 END"
+_ALL = " + ".join(C.CATEGORY_ORDER)
 
 
-@query("per_category_accuracy", _MATRIX + f" SELECT true_category, {' + '.join(C.CATEGORY_ORDER)} AS total_reads, {_RIGHT} AS correct_reads, round({_RIGHT} / CAST({' + '.join(C.CATEGORY_ORDER)} AS DOUBLE), 9) AS accuracy FROM mat".replace("/ CAST(exonic_sense", "/ CAST((exonic_sense").replace("unassigned AS DOUBLE)", "unassigned) AS DOUBLE)"))
+@query("per_category_accuracy", _MATRIX + f" SELECT true_category, {_ALL} AS total_reads, {_RIGHT} AS correct_reads, round({_RIGHT} / CAST(({_ALL}) AS DOUBLE), 9) AS accuracy FROM mat")
 def per_category_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Diagonal over row sum."""
     return Q.rounded(P.category_accuracy(confusion_matrix(spark, d)))
 
 
-@query("noise_dose_response", Q.CELLS + " SELECT cell_barcode, n_reads, (ascii(cell_barcode) % 4) / 10.0 AS true_noise_frac, round(noise_read_frac, 9) AS reported_noise_frac, round(noise_read_frac - CAST((ascii(cell_barcode) % 4) / 10.0 AS DOUBLE), 9) AS delta_vs_true FROM cells WHERE sample_id = 'LBX00000' AND cell_barcode <> ''")
+@query("noise_dose_response", Q.CELLS + " SELECT concat(sample_id, '/', cell_barcode) AS cell_barcode, n_reads, (ascii(cell_barcode) % 4) / 10.0 AS true_noise_frac, round(noise_read_frac, 9) AS reported_noise_frac, round(noise_read_frac - CAST((ascii(cell_barcode) % 4) / 10.0 AS DOUBLE), 9) AS delta_vs_true FROM cells WHERE cell_barcode <> ''")
 def noise_dose_response(spark: SparkSession, d: str) -> DataFrame:
     """Reported against assumed noise."""
-    c = _one_cells(spark, d).where("cell_barcode != ''")
-    return Q.rounded(P.dose_response(c, c.select("cell_barcode", ((F.ascii("cell_barcode") % 4) / 10.0).alias("true_noise"))))
+    c = _cells(spark, d)
+    return Q.rounded(P.dose_response(c, c.select("cell_barcode", ((F.ascii("plain") % 4) / 10.0).alias("true_noise"))))
 
 
 SQL["dose_sorted"], QUERIES["dose_sorted"] = SQL["noise_dose_response"], noise_dose_response
 
 
-@query("artifact_flag_accuracy", Q.ONCE + f" SELECT cell_barcode, 'n_tso' AS flag, e.n AS expected_count, f.n_tso AS observed_count, f.n_polya AS other_flag_count, round(f.n_tso / CAST(e.n AS DOUBLE), 9) AS accuracy FROM ({Q._FLAG_SQL}) f JOIN (SELECT sample_id, cell_barcode, count(*) AS n FROM once GROUP BY 1, 2) e USING (sample_id, cell_barcode) WHERE sample_id = 'LBX00000'")
+@query("artifact_flag_accuracy", Q.ONCE + f" SELECT concat(sample_id, '/', cell_barcode) AS cell_barcode, 'n_tso' AS flag, e.n AS expected_count, f.n_tso AS observed_count, f.n_polya AS other_flag_count, round(f.n_tso / CAST(e.n AS DOUBLE), 9) AS accuracy FROM ({Q._FLAG_SQL}) f JOIN (SELECT sample_id, cell_barcode, count(*) AS n FROM once GROUP BY 1, 2) e USING (sample_id, cell_barcode)")
 def artifact_flag_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Observed over expected flags per cell."""
-    truth = Q.once(spark, d).where("sample_id = 'LBX00000'").select("cell_barcode", F.lit("n_tso").alias("flag"))
-    return Q.rounded(P.flag_accuracy(Q._flags(spark, d).where("sample_id = 'LBX00000'"), truth))
-
-
-# --- the same over all libraries, where a barcode is named by library and barcode ---
-
-_ONE = " WHERE sample_id = 'LBX00000'"
-
-
-def _key():
-    return F.concat("sample_id", F.lit("/"), "cell_barcode")
-
-
-def _all_cells(spark, d):
-    return Q.cells(spark, d).where("cell_barcode != ''").withColumns({"plain": F.col("cell_barcode"), "cell_barcode": _key()}).where("cell_barcode IS NOT NULL")
-
-
-def _all_truth(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("sample_id", "cell_barcode").orderBy(F.desc("n_reads"), "category")
-    c = Q.counts(spark, d).where("sample_id IS NOT NULL AND cell_barcode != ''")
-    return c.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(_key().alias("cell_barcode"), F.col("category").alias("true_category"))
-
-
-@query("confusion_matrix_all", SQL["confusion_matrix"].replace(_ONE, ""))
-def confusion_matrix_all(spark: SparkSession, d: str) -> DataFrame:
-    """Assigned categories per true category over all libraries."""
-    return P.confusion_matrix(_all_cells(spark, d), _all_truth(spark, d))
-
-
-@query("per_category_accuracy_all", SQL["per_category_accuracy"].replace(_ONE, ""))
-def per_category_accuracy_all(spark: SparkSession, d: str) -> DataFrame:
-    """Diagonal over row sum over all libraries."""
-    return Q.rounded(P.category_accuracy(confusion_matrix_all(spark, d)))
-
-
-@query("noise_dose_response_all", SQL["noise_dose_response"].replace("SELECT cell_barcode,", "SELECT concat(sample_id, '/', cell_barcode) AS cell_barcode,").replace(_ONE + " AND", " WHERE"))
-def noise_dose_response_all(spark: SparkSession, d: str) -> DataFrame:
-    """Reported against assumed noise of every library's cells."""
-    c = _all_cells(spark, d)
-    return Q.rounded(P.dose_response(c, c.select("cell_barcode", ((F.ascii("plain") % 4) / 10.0).alias("true_noise"))))
-
-
-SQL["dose_sorted_all"], QUERIES["dose_sorted_all"] = SQL["noise_dose_response_all"], noise_dose_response_all
-
-
-@query("artifact_flag_accuracy_all", SQL["artifact_flag_accuracy"].replace("SELECT cell_barcode, 'n_tso'", "SELECT concat(sample_id, '/', cell_barcode) AS cell_barcode, 'n_tso'").replace(_ONE, ""))
-def artifact_flag_accuracy_all(spark: SparkSession, d: str) -> DataFrame:
-    """Observed over expected flags of every library's cells."""
     truth = Q.once(spark, d).select(_key().alias("cell_barcode"), F.lit("n_tso").alias("flag"))
     return Q.rounded(P.flag_accuracy(Q._flags(spark, d).withColumn("cell_barcode", _key()), truth))
 

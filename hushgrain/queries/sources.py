@@ -86,21 +86,11 @@ def scan_bed_repeats(spark: SparkSession, d: str) -> DataFrame:
     return text.parse_repeats(_tabbed(r, F.col("contig"), F.col("s"), F.col("e"), F.concat(F.lit("R"), (F.col("s") % 10).cast("string")), F.lit(0), F.when(F.col("s") % 3 != 0, "-")))
 
 
-@query("scan_fasta", duck("chunks") + " SELECT contig, chunk_id, seq FROM chunks WHERE chunk_id < 200 AND contig IN ('chr1', 'chr2')")
+@query("scan_fasta", duck("chunks") + " SELECT contig, chunk_id, seq FROM chunks")
 def scan_fasta(spark: SparkSession, d: str) -> DataFrame:
     """A sequence file's lines of 61 bases back in chunks."""
-    c = view(spark, d, "chunks").where("chunk_id < 200 AND contig IN ('chr1', 'chr2')")
-    at = F.when(F.col("contig") == "chr1", 0).otherwise(1 << 40)
-    head = c.where("chunk_id = 0").select(F.concat(F.lit(">"), "contig", F.lit(" x")).alias("value"), at.alias("at"))
-    body = c.select(F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i"), "seq", "chunk_id", at.alias("at")).select(F.lower(F.substring(F.col("seq"), F.col("i") * 61 + 1, F.lit(61))).alias("value"), (F.col("at") + F.col("chunk_id") * 10 + F.col("i") + 1).alias("at"))
-    return text.fasta_chunks(head.unionByName(body).where("value != ''"))
-
-
-@query("scan_fasta_whole", duck("chunks") + " SELECT contig, chunk_id, seq FROM chunks")
-def scan_fasta_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same of all contigs and chunks."""
     c = view(spark, d, "chunks").withColumn("at", F.substring("contig", 4, 9).cast("long") * (1 << 40))
-    head = c.where("chunk_id = 0").select(F.concat(F.lit(">"), "contig", F.lit(" x")).alias("value"), "at")
+    head = c.select("contig", "at").distinct().select(F.concat(F.lit(">"), "contig", F.lit(" x")).alias("value"), "at")
     body = c.select(F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i"), "seq", "chunk_id", "at").select(F.lower(F.substring(F.col("seq"), F.col("i") * 61 + 1, F.lit(61))).alias("value"), (F.col("at") + F.col("chunk_id") * 10 + F.col("i") + 1).alias("at"))
     return text.fasta_chunks(head.unionByName(body).where("value != ''"))
 
@@ -259,7 +249,7 @@ def scan_bam(spark: SparkSession, d: str) -> DataFrame:
     """Binary alignments: every derived read written to files, one a partition, and read back."""
     r = view(spark, d, "reads").withColumn("qname", F.col("read_id")).withColumn("mapq", F.lit(60)).withColumn("seq", F.upper("seq"))
     folder = _folder(spark, "bam")
-    bam.write_bam(r, folder, [(f"chr{i}", 400_000) for i in (1, 2, 3, 4, 5, 9)] + [("chrM", 400_000)])
+    bam.write_bam(r, folder, [(f"chr{i}", 1 << 30) for i in (1, 2, 3, 4, 5, 9)] + [("chrM", 1 << 30)])
     bam.register(spark)
     return spark.read.format("bam").load(folder).select("qname", "flag", "contig", "pos", "cigar", "seq", "cb", "umi", "nh", "sa", "strand", "next_contig", "tlen")
 

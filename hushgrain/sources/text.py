@@ -143,11 +143,13 @@ def fasta_chunks(raw: DataFrame, chunk: int = 512) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
-    heads = raw.where(F.startswith("value", F.lit(">"))).select(F.regexp_extract("value", r"^>(\S+)", 1).alias("contig"), F.col("at").alias("from"))
-    heads = heads.withColumn("to", F.lead("from", 1, 1 << 62).over(W.orderBy("from")))  # one row a contig
-    body = raw.where(~F.startswith("value", F.lit(">"))).select("at", F.upper(F.trim("value")).alias("seq"))
-    j = body.join(F.broadcast(heads), (F.col("at") > F.col("from")) & (F.col("at") < F.col("to")))
-    block = j.withColumn("b", F.expr("at div 65536"))
+    block = raw.withColumns({"b": F.expr("at div 65536"), "head": F.when(F.startswith("value", F.lit(">")), F.regexp_extract("value", r"^>(\S+)", 1))})
+    # the contig that a block begins in is the last one named before it; one row a block
+    named = block.groupBy("b").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("at"))).alias("last"))
+    begins = named.select("b", F.last("last", ignorenulls=True).over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)).alias("begins"))
+    here = F.last("head", ignorenulls=True).over(W.partitionBy("b").orderBy("at"))
+    lines_ = block.withColumn("here", here).where("head IS NULL").join(begins, "b")
+    block = lines_.select("at", "b", F.upper(F.trim("value")).alias("seq"), F.coalesce("here", "begins").alias("contig")).where("contig IS NOT NULL")
     per = block.groupBy("contig", "b").agg(F.sum(F.length("seq")).alias("n"))
     before = per.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("contig").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     own = F.coalesce(F.sum(F.length("seq")).over(W.partitionBy("contig", "b").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

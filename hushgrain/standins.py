@@ -2,14 +2,15 @@
 
 The test data have no annotation.  These views derive one, and reads that meet it, from the
 order tables by integer arithmetic, so that Spark and other engines agree on every row.
-Each is one SQL text; ``{div}`` stands for the engine's integer division.
+Each is one SQL text over every row of its table; ``{div}`` stands for the engine's integer division.
+
+The derived genome has five contigs.  Every 200 parts make a block of genes; blocks lie 500,000
+bases apart, and reads, sites and repeats are spread over the blocks alike, so the number of overlaps grows
+as the tables do.  A contig's sequence has one chunk a part; beyond it bases are unknown.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
 _TSO = "AAGCAGTGGTATCAACGCAGAGTACATGGG"
@@ -18,7 +19,7 @@ TEXTS = {
     "reads": f"""
 SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(CAST(l_quantity AS INT) AS STRING)) AS read_id,
   CASE WHEN l_suppkey % 50 = 7 THEN 'chrM' ELSE concat('chr', CAST(l_suppkey % 5 + 1 AS STRING)) END AS contig,
-  (l_partkey * 7919 + l_orderkey * 104729 + l_linenumber * 611953) % 400000 AS pos,
+  ((l_partkey * 7919 + l_orderkey * 104729 + l_linenumber * 611953) % 400000 + (l_partkey {{div}} 200) * 500000) AS pos,
   CAST(l_quantity AS BIGINT) * 20 AS read_length,
   CASE WHEN l_linestatus = 'F' THEN '-' ELSE '+' END AS strand,
   CASE WHEN l_linestatus = 'F' THEN 16 ELSE 0 END
@@ -28,8 +29,8 @@ SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING),
   concat('U', CAST(l_orderkey % 1000 AS STRING)) AS umi,
   CASE WHEN l_partkey % 23 = 0 THEN 2 WHEN l_partkey % 89 = 0 THEN NULL ELSE 1 END AS nh,
   CASE l_orderkey % 31 WHEN 0 THEN 'chr9,100,+,50M,60,0;'
-    WHEN 1 THEN concat('chr', CAST(l_suppkey % 5 + 1 AS STRING), ',', CAST((l_partkey * 7919 + l_orderkey * 104729 + l_linenumber * 611953) % 400000 + 10001 AS STRING), ',', CASE WHEN l_linestatus = 'F' THEN '-' ELSE '+' END, ',50M,60,0;')
-    WHEN 2 THEN concat('chr', CAST(l_suppkey % 5 + 1 AS STRING), ',', CAST((l_partkey * 7919 + l_orderkey * 104729 + l_linenumber * 611953) % 400000 + 10000 AS STRING), ',', CASE WHEN l_linestatus = 'F' THEN '-' ELSE '+' END, ',50M,60,0;')
+    WHEN 1 THEN concat('chr', CAST(l_suppkey % 5 + 1 AS STRING), ',', CAST(((l_partkey * 7919 + l_orderkey * 104729 + l_linenumber * 611953) % 400000 + (l_partkey {{div}} 200) * 500000) + 10001 AS STRING), ',', CASE WHEN l_linestatus = 'F' THEN '-' ELSE '+' END, ',50M,60,0;')
+    WHEN 2 THEN concat('chr', CAST(l_suppkey % 5 + 1 AS STRING), ',', CAST(((l_partkey * 7919 + l_orderkey * 104729 + l_linenumber * 611953) % 400000 + (l_partkey {{div}} 200) * 500000) + 10000 AS STRING), ',', CASE WHEN l_linestatus = 'F' THEN '-' ELSE '+' END, ',50M,60,0;')
     WHEN 3 THEN concat('chr', CAST(l_suppkey % 5 + 1 AS STRING), ',100,', CASE WHEN l_linestatus = 'F' THEN '+' ELSE '-' END, ',50M,60,0;')
     WHEN 4 THEN 'chr1,abc;;' END AS sa,
   CASE WHEN l_linenumber = 7 THEN concat(CAST((CAST(l_quantity AS BIGINT) * 20) {{div}} 2 AS STRING), 'M500N', CAST((CAST(l_quantity AS BIGINT) * 20) - (CAST(l_quantity AS BIGINT) * 20) {{div}} 2 AS STRING), 'M')
@@ -46,75 +47,35 @@ SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING),
   CASE WHEN l_orderkey % 53 = 0 THEN 2000000 ELSE (l_partkey * 37 - l_orderkey * 11) % 3000 END AS tlen
 FROM {{lineitem}}""",
     "genes": """
-SELECT concat('G', CAST(p_partkey AS STRING)) AS gene_id, concat('chr', CAST(p_partkey % 5 + 1 AS STRING)) AS contig, (p_partkey * 159157) % 400000 AS s,
-  (p_partkey * 159157) % 400000 + 1000 + p_size * 200 AS e, CASE WHEN (p_partkey {div} 5) % 3 = 0 THEN '-' ELSE '+' END AS strand,
+SELECT concat('G', CAST(p_partkey AS STRING)) AS gene_id, concat('chr', CAST(p_partkey % 5 + 1 AS STRING)) AS contig, ((p_partkey * 159157) % 400000 + (p_partkey {div} 200) * 500000) AS s,
+  ((p_partkey * 159157) % 400000 + (p_partkey {div} 200) * 500000) + 1000 + p_size * 200 AS e, CASE WHEN (p_partkey {div} 5) % 3 = 0 THEN '-' ELSE '+' END AS strand,
   CASE WHEN p_partkey % 3 = 0 THEN 'lncRNA' ELSE 'protein_coding' END AS biotype
-FROM {part} WHERE p_partkey < 200""",
+FROM {part}""",
     "exons": """
 SELECT gene_id, contig, s + k * ((e - s) {div} 3) AS s, s + k * ((e - s) {div} 3) + (e - s) {div} 6 + CASE WHEN k = 1 THEN 40 ELSE 0 END AS e, strand, biotype
 FROM {genes} g CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks""",
-    "sites": "SELECT concat('chr', CAST(o_custkey % 5 + 1 AS STRING)) AS contig, (o_orderkey * 7919) % 400000 AS pos FROM {orders} WHERE o_orderkey < 500",
-    "repeats": "SELECT concat('chr', CAST(s_nationkey % 5 + 1 AS STRING)) AS contig, (s_suppkey * 40503) % 400000 AS s, (s_suppkey * 40503) % 400000 + 300 AS e FROM {supplier}",
+    "sites": "SELECT concat('chr', CAST(o_custkey % 5 + 1 AS STRING)) AS contig, (o_orderkey * 7919) % 400000 + (o_orderkey {div} 1500) * 500000 AS pos FROM {orders}",
+    "repeats": "SELECT concat('chr', CAST(s_nationkey % 5 + 1 AS STRING)) AS contig, (s_suppkey * 40503) % 400000 + (s_suppkey {div} 10) * 500000 AS s, (s_suppkey * 40503) % 400000 + (s_suppkey {div} 10) * 500000 + 300 AS e FROM {supplier}",
     "obs": "SELECT concat('CB', CAST(n_nationkey AS STRING)) AS cell_barcode, concat('C', CAST(n_nationkey % 4 AS STRING)) AS cluster FROM {nation}",
     "wells": "SELECT concat('P', CAST(n_regionkey AS STRING)) AS plate_id, concat(substr('ABCDEFGH', n_nationkey % 8 + 1, 1), CAST(n_nationkey % 12 + 1 AS STRING)) AS well_id, n_nationkey AS well_no FROM {nation}",
     "chunks": "SELECT concat('chr', CAST(k AS STRING)) AS contig, p_partkey AS chunk_id, translate(concat("
     + ", ".join(f"md5(concat(CAST(k AS STRING), ':', CAST(p_partkey AS STRING), ':{i}'))" for i in range(16))
-    + "), '0123456789abcdef', 'ACGTACGTACGTAAAA') AS seq FROM {part} p CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) ks WHERE p_partkey < 782",
+    + "), '0123456789abcdef', 'ACGTACGTACGTAAAA') AS seq FROM {part} p CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) ks",
 }
 #: Bases in a chunk of the derived reference sequence.
 CHUNK = 512
 
-#: Of the derived genome, the bases from one block of 200 genes to the next.
-BLOCK = 500_000
-
-
-def _spread(name: str, place: str, block: str, cut: str = "") -> str:
-    """A view over every row of its table: the same places, moved on by a block for each further part of the table."""
-    text = TEXTS[name]
-    if place not in text or not text.endswith(cut):
-        raise ValueError(f"view {name} has changed")
-    return text.removesuffix(cut).replace(place, f"({place} + ({block}) * {BLOCK})")
-
-
-#: The views that :data:`TEXTS` cuts to a few ids, and what must meet them, over all rows.  In the first block they are the same.
-WHOLE = TEXTS | {
-    "genes": _spread("genes", "(p_partkey * 159157) % 400000", "p_partkey {div} 200", " WHERE p_partkey < 200"),
-    "sites": _spread("sites", "(o_orderkey * 7919) % 400000", "o_orderkey {div} 1500", " WHERE o_orderkey < 500"),
-    "reads": _spread("reads", "(l_partkey * 7919 + l_orderkey * 104729 + l_linenumber * 611953) % 400000", "l_partkey {div} 200"),
-    "repeats": _spread("repeats", "(s_suppkey * 40503) % 400000", "s_suppkey {div} 10"),
-}
-_texts = TEXTS
-
-
-@contextmanager
-def whole() -> Iterator[None]:
-    """Within it, views are over all rows of their tables."""
-    global _texts
-    before, _texts = _texts, WHOLE
-    try:
-        yield
-    finally:
-        _texts = before
-
-
-def whole_sql(sql: str) -> str:
-    """A query's SQL over the views of all rows."""
-    for name in TEXTS:
-        sql = sql.replace(_duck_text(name, TEXTS), _duck_text(name, WHOLE))
-    return sql
-
-
 _NEEDS = {"reads": ("lineitem",), "genes": ("part",), "exons": ("genes",), "sites": ("orders",), "repeats": ("supplier",), "obs": ("nation",), "wells": ("nation",), "chunks": ("part",)}
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the views over a data folder."""
     used = {n: view(spark, folder, n) if n in TEXTS else spark.read.parquet(f"{folder}/{n}.parquet") for n in _NEEDS[name]}
-    return spark.sql(_texts[name].replace("{div}", "div"), **used)
+    return spark.sql(TEXTS[name].replace("{div}", "div"), **used)
 
 
-def _duck_text(name: str, texts: dict[str, str]) -> str:
-    return texts[name].replace("{div}", "//").replace("STRING", "VARCHAR").format(**{m: m for m in _NEEDS[name]})
+def _duck_text(name: str) -> str:
+    return TEXTS[name].replace("{div}", "//").replace("STRING", "VARCHAR").format(**{m: m for m in _NEEDS[name]})
 
 
 def duck(*names: str) -> str:
@@ -130,4 +91,4 @@ def duck(*names: str) -> str:
 
     for n in names:
         need(n)
-    return "WITH " + ", ".join(f"{n} AS ({_duck_text(n, TEXTS)})" for n in order)
+    return "WITH " + ", ".join(f"{n} AS ({_duck_text(n)})" for n in order)

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from hushgrain.operators import annotation, intervals
+from hushgrain.storage import lookup_join
 
 
 def bases(rows):
@@ -74,3 +75,34 @@ def test_site_distance(spark):
 def test_shared_regions(spark, a, b, want):
     u = spark.createDataFrame([("chr1", "+", "g1", a, 100, 300), ("chr1", "+", "g2", b, 200, 400), ("chr1", "-", "g3", b, 0, 900), ("chr1", "+", "g4", b, 500, 600)], "contig string, strand string, gene_id string, biotype string, s long, e long")
     assert [(r.layer, r.strand, r.s, r.e) for r in annotation.shared_regions(u).collect()] == [(want, "+", 200, 300)]
+
+
+@pytest.mark.parametrize("rows", [50_000, 0])
+def test_hot_bin(spark, monkeypatch, rows):
+    """Nine tenths of the intervals lie in one bin: only overlaps leave the join, broadcast or salted, and sums are right."""
+    rng = random.Random(7)
+    a = [(i, "a", s, s + 30) for i in range(900) for s in [rng.randint(0, 200)]] + [(i, "b", i, i + 30) for i in range(900, 1000)]
+    b = [("a", s, s + 5, f"x{s}") for s in range(0, 250, 10)] + [("b", 0, 10_000, "y")]
+    left, right = spark.createDataFrame(a, "i int, k string, s long, e long"), spark.createDataFrame(b, "k string, s long, e long, layer string")
+    monkeypatch.setattr(intervals, "lookup_join", lambda *x, **k: lookup_join(*x, **k, rows=rows))
+    got = intervals.overlaps(left, right, ["k"], 256, "left").collect()
+    pairs = [(i, n, min(e, y) - max(s, x)) for i, k, s, e in a for j, x, y, n in b if j == k and x < e and s < y]
+    sums = {}
+    for r in got:
+        if r.layer is not None:
+            assert r.bases > 0
+            sums[r.i, r.layer] = sums.get((r.i, r.layer), 0) + r.bases
+    assert sums == {(i, n): o for i, n, o in pairs}
+    assert len(got) <= 1.5 * len(pairs)
+
+
+def test_islands_of_equal_starts(spark):
+    """Many intervals of one start are one row before any window; labels and running maxima hold, null keys as well."""
+    rows = [(i, "h" if i % 10 else None, 100, 100 + i % 7 + 1) for i in range(500)] + [(900, "h", 700, 710), (901, "h", 95, 100), (902, None, 650, 660)]
+    df = spark.createDataFrame(rows, "i int, k string, s long, e long")
+    assert sorted(map(str, ((r.k, r.s, r.e) for r in intervals.islands(df, ["k"], island_bin=64).collect()))) == sorted(map(str, [("h", 95, 107), ("h", 700, 710), (None, 100, 107), (None, 650, 660)]))
+    lab = {r.i: r.locus_id for r in intervals.label_islands(df, ["k"], 10, island_bin=64).collect()}
+    assert len(lab) == len(rows) and lab[901] == lab[1] != lab[900] and lab[0] == lab[10] != lab[902]
+    top = {r.i: r.max_end for r in intervals.running_max(df, ["k"], island_bin=64).collect()}
+    for i, k, s, e in rows:
+        assert top[i] == max(y for _, j, x, y in rows if j == k and (x, y) <= (s, e))

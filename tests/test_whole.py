@@ -1,4 +1,4 @@
-"""Queries over whole tables, where the plain ones keep a few ids or one library."""
+"""Queries run over every row of their tables."""
 
 import os
 
@@ -30,17 +30,17 @@ def against_sql(spark, name):
 
 
 def test_every_part_and_order(spark):
-    """2,000 genes and the sites of 15,000 orders, not 200 and 500."""
-    assert len({r["gene_id"] for r in against_sql(spark, "exon_union_per_gene_whole")}) == 2000
-    assert len(against_sql(spark, "scan_bed_sites_whole")) > 10_000
+    """2,000 genes and the sites of 15,000 orders."""
+    assert len({r["gene_id"] for r in against_sql(spark, "exon_union_per_gene")}) == 2000
+    assert len(against_sql(spark, "scan_bed_sites")) > 10_000
 
 
-@pytest.mark.parametrize("name", ["introns_whole", "self_overlap_whole", "nearest_within_whole"])
+@pytest.mark.parametrize("name", ["introns", "self_overlap", "nearest_within"])
 def test_whole_against_sql(spark, name):
     assert against_sql(spark, name)
 
 
-@pytest.mark.parametrize("name", ["locus_decision_fetched", "polya_context_fetched"])
+@pytest.mark.parametrize("name", ["locus_decision", "polya_context"])
 def test_fetched_against_sql(spark, name):
     """The run of A comes from the sequence."""
     assert against_sql(spark, name)
@@ -48,16 +48,11 @@ def test_fetched_against_sql(spark, name):
 
 def test_every_library(spark):
     """The cells of all libraries are evaluated."""
-    assert len({r["cell_barcode"].split("/")[0] for r in against_sql(spark, "noise_dose_response_all")}) > 10
-    assert against_sql(spark, "per_category_accuracy_all") and against_sql(spark, "artifact_flag_accuracy_all")
-
-
-def test_every_combination_of_runs(spark):
-    """All eight groupings of the runs' UMIs."""
-    assert {r["level"] for r in against_sql(spark, "p2_run_combinations")} == set(range(8))
+    assert len({r["cell_barcode"].split("/")[0] for r in against_sql(spark, "noise_dose_response")}) > 10
+    assert against_sql(spark, "per_category_accuracy") and against_sql(spark, "artifact_flag_accuracy")
 
 
 def test_every_contig_and_chunk(spark):
-    """Five contigs of 782 chunks, not two of 200."""
-    rows = against_sql(spark, "scan_fasta_whole")
-    assert {r["contig"] for r in rows} == {f"chr{i}" for i in range(1, 6)} and len(rows) == 5 * 782
+    """Five contigs with a chunk for every part."""
+    rows = against_sql(spark, "scan_fasta")
+    assert {r["contig"] for r in rows} == {f"chr{i}" for i in range(1, 6)} and len(rows) == 5 * 2000
