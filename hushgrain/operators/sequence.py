@@ -23,7 +23,7 @@ def fetch(df: DataFrame, chunks: DataFrame, contig: str, pos: str, width: int, c
     own = chunks.select(F.col("contig").alias("_c"), F.col("chunk_id").cast("long").alias("_i"), F.upper("seq").alias("_s"))
     following = own.select("_c", (F.col("_i") - 1).alias("_i"), F.substring("_s", 1, width).alias("_n"))
     wide = own.join(following, ["_c", "_i"], "left").select("_c", "_i", F.concat("_s", F.coalesce("_n", F.lit(""))).alias("_w"))
-    found = lookup_join(df.withColumns({"_c": F.col(contig), "_i": F.expr(f"`{pos}` div {chunk}")}), wide, ["_c", "_i"], "left")
+    found = lookup_join(df.withColumns({"_c": F.col(contig), "_i": F.expr(f"`{pos}` div {chunk}")}), wide, ["_c", "_i"], "left", salts=4)  # wide rows, so few copies; beyond them adaptive execution splits a hot chunk
     bases = F.coalesce(F.substring(F.col("_w"), (F.col(pos) % chunk + 1).cast("int"), F.lit(width)), F.lit(""))
     return found.withColumn("bases", bases).drop("_c", "_i", "_w")
 

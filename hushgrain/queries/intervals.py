@@ -226,7 +226,7 @@ _ALL_BASES = ", allb AS (SELECT read_id, category, bases FROM bas UNION ALL SELE
 def classified(spark: SparkSession, d: str, flags: bool = False) -> DataFrame:
     """All primary reads of the derived tables with category and bases, and with ``flags`` those that need the sequence."""
     index = _index(spark, d)
-    return classify.classify(view(spark, d, "reads"), A.tagged(index), Q._whitelist(spark, d), True, index["splice_sites"] if flags else None, view(spark, d, "chunks") if flags else None, CHUNK)
+    return classify.classify(view(spark, d, "reads"), A.tagged(index), Q._whitelist(spark, d), True, index["splice_sites"] if flags else None, Q._chunks(spark, d) if flags else None, CHUNK)
 
 
 def _blocks(spark, d):

@@ -8,6 +8,7 @@ from hushgrain.functions import reads as R
 from hushgrain.operators import cascade, sequence
 from hushgrain.queries.common import table
 from hushgrain.standins import CHUNK, duck, view
+from hushgrain.storage import materialise
 
 QUERIES, SQL = {}, {}
 
@@ -148,6 +149,12 @@ def idxstats_count(spark: SparkSession, d: str) -> DataFrame:
 
 # --- the reference sequence ---
 
+
+def _chunks(spark, d):
+    """The derived sequence as a table, as a run has it."""
+    return materialise(view(spark, d, "chunks"), "reference")
+
+
 _AT = f"(pos_at // {CHUNK})"
 
 
@@ -167,7 +174,7 @@ def _with_chunks(sql: str) -> str:
 def is_polya_priming(spark: SparkSession, d: str) -> DataFrame:
     """A run of A downstream of the read's reference end, on either strand."""
     r = view(spark, d, "reads").select("read_id", "contig", R.ref_end().alias("pos_at"))
-    f = sequence.fetch(r, view(spark, d, "chunks"), "contig", "pos_at", C.POLYA_WINDOW, CHUNK)
+    f = sequence.fetch(r, _chunks(spark, d), "contig", "pos_at", C.POLYA_WINDOW, CHUNK)
     return f.select("read_id", R.has_a_run("bases").alias("result"))
 
 
@@ -179,7 +186,7 @@ _DONOR = "CASE WHEN strand = '-' THEN reverse(translate(bases, 'ACGT', 'TGCA'))
 def junction_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Whether a junction's donor is canonical; it is where the sequence is unknown."""
     j = view(spark, d, "reads").select("read_id", "contig", "strand", F.explode(R.junctions()).alias("junction"))
-    return sequence.with_donor(j, view(spark, d, "chunks"), CHUNK).select("read_id", "junction", "is_canonical")
+    return sequence.with_donor(j, _chunks(spark, d), CHUNK).select("read_id", "junction", "is_canonical")
 
 
 _SPLICE = "SELECT DISTINCT contig, strand, unnest([s, e]) AS junction FROM exons"
@@ -219,14 +226,14 @@ def splice_site_join(spark: SparkSession, d: str) -> DataFrame:
 def has_noncanon(spark: SparkSession, d: str) -> DataFrame:
     """Whether a read has an unknown junction with a non-canonical donor."""
     j = sequence.with_known(_junctions(spark, d), _splice_sites(spark, d))
-    return sequence.with_donor(j, view(spark, d, "chunks"), CHUNK).groupBy("read_id").agg(F.bool_or(~F.col("is_known") & ~F.col("is_canonical")).alias("result"))
+    return sequence.with_donor(j, _chunks(spark, d), CHUNK).groupBy("read_id").agg(F.bool_or(~F.col("is_known") & ~F.col("is_canonical")).alias("result"))
 
 
 @query("fasta_lookup", duck("sites", "chunks") + f" SELECT contig, pos_at, bases FROM ({_fetch_sql('SELECT DISTINCT contig, pos AS pos_at FROM sites', 30)}) f")
 def fasta_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The 30 bases from each site on."""
     s = view(spark, d, "sites").select("contig", F.col("pos").alias("pos_at")).distinct()
-    return sequence.fetch(s, view(spark, d, "chunks"), "contig", "pos_at", 30, CHUNK).select("contig", "pos_at", "bases")
+    return sequence.fetch(s, _chunks(spark, d), "contig", "pos_at", 30, CHUNK).select("contig", "pos_at", "bases")
 
 
 # --- contigs ---

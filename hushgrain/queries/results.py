@@ -12,6 +12,7 @@ from hushgrain.operators import intergenic as G
 from hushgrain.operators import metrics as M
 from hushgrain.operators import sequence
 from hushgrain.queries import metrics as Q
+from hushgrain.queries import reads
 from hushgrain.queries.reads import _fetch_sql
 from hushgrain.queries.common import table
 from hushgrain.storage import materialise
@@ -75,7 +76,7 @@ def scored(spark: SparkSession, d: str, r: DataFrame | None = None, clustered: D
     repeats = r.select("contig", F.expr("(start_pos div 100000) * 100000 + 50000").alias("s")).distinct().withColumn("e", F.col("s") + 3000)
     sites = r.where("three_prime % 5 = 0").select("contig", F.col("three_prime").alias("pos")).distinct()
     found = materialise(G.loci(G.cluster(r, S) if clustered is None else clustered, S), "loci")
-    found = sequence.fetch(found, view(spark, d, "chunks"), "contig", "modal_three_prime", C.POLYA_WINDOW, CHUNK)
+    found = sequence.fetch(found, reads._chunks(spark, d), "contig", "modal_three_prime", C.POLYA_WINDOW, CHUNK)
     every = table(spark, d, "alignments").where("qname IS NOT NULL").select(*S, names.barcode(F.col("cb")).alias("cell_barcode"))
     return G.score(found, r, S, bases, repeats, sites, R.has_a_run("bases"), barcodes=every)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes (as text) up to which a side may be broadcast, far below one executor's heap.
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 250_000
 BROADCAST_BYTES = 32 << 20
 
 _own_dir: str | None = None
