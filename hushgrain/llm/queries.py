@@ -244,6 +244,32 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return m.select("span", F.col("doc").alias("doc_id"), "first", "last")
 
 
+def p8_removed(spark: SparkSession, d: str) -> DataFrame:
+    """Each commit's text without the spans that also stand in an earlier one."""
+    docs = table(spark, d, "documents")
+    return spans.removed(docs, spans.shared_spans(docs))
+
+
+def _classes(spark, d):
+    """The commits, their classes of equal text, and the link groups of the classes."""
+    docs = table(spark, d, "documents")
+    classes = materialise(spans.text_classes(docs), "text_classes")
+    one = docs.join(classes.where("doc = class_id").select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    return classes, spans.link_groups(spans.shared_spans(one))
+
+
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each commit with the class of commits of the same text, and in how many groups of linked classes it is."""
+    classes, linked = _classes(spark, d)
+    n = linked.groupBy(F.col("doc").alias("class_id")).agg(F.count(F.lit(1)).alias("n_groups"))
+    return classes.join(n, "class_id", "left").select(F.col("doc").alias("doc_id"), "class_id", "n_copies", F.coalesce("n_groups", F.lit(0)).alias("n_groups"))
+
+
+def p8_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of linked classes: two texts share a span just if their classes are in a group together."""
+    return _classes(spark, d)[1].select("group_id", F.col("doc").alias("class_id"), "n_members")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_combinations": p2_combinations,
@@ -262,5 +288,8 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_shares": p8_shares,
     "p8_spans": p8_spans,
+    "p8_removed": p8_removed,
+    "p8_classes": p8_classes,
+    "p8_groups": p8_groups,
 }
 SQL = {"p2_found": P2_FOUND, "p2_combinations": P2_COMBINATIONS, "p2_runs": P2_RUNS, "p2_run_combinations": P2_RUN_COMBINATIONS, "p5_found": P5_FOUND, "p5_percentiles": P5_PERCENTILES, "p5_bin_percentiles": P5_BIN_PERCENTILES}

@@ -1,18 +1,20 @@
 """Exact spans of at least a given length that stand in more than one record.
 
-Suffix automata of reference shards.  A shard holds the surroundings of one anchor: a run of
-``anchor`` characters that is the least, by hash, of some window of ``length - anchor + 1``
-runs.  Equal spans of ``length`` characters have equal windows, hence an equal anchor, so
-every shared span lies in a shard with both its records, and shards of one record are never
-built.  Over a shard's texts one generalised suffix automaton is built while they are
-streamed through it; each position's matching statistic, climbed to the first state of at
-least ``length`` characters that texts of several records reach, gives the shared spans.
-
-Only one text of each distinct surrounding enters a shard, so copies cost nothing, and
-links are kept as spans with members; pairs are made from them only where asked for.
-Shards with more than ``max_texts`` distinct texts, such as a formula that half of all
-records contain in different places, are resolved by hashing each of their windows of
-``length`` characters instead: exact as well, and linear in their size.
+Suffix automata of reference shards.  An anchor is a run of ``anchor`` characters that is the
+least, by hash, of some window of ``length - anchor + 1`` runs.  Equal spans of ``length``
+characters have equal windows, hence an equal anchor at the same place, so both their records
+hold it.  Anchors that follow each other in the same records at the same distances are one
+group.  A shard holds a group's surroundings in every record that has it; its reference is the
+distinct texts among them, of which one generalised suffix automaton is built.  The shard's
+records are streamed through it: a position's matching statistic, climbed to the first state of at
+least ``length`` characters, tells which texts hold that window, and windows whose texts
+belong to several records are the shared spans.  Texts are compared as texts throughout.
+
+A shard with more than ``max_texts`` distinct texts or ``MAX_CHARS`` characters of them, such as a formula that a third of all
+records contain in different places, is halved by the places of its windows, and each half is
+divided by the characters that all its windows have in common, until the reference is small
+enough.  A shard of many records is divided among tasks, each of which gets the whole
+reference.  So tasks are bounded, and every link comes out of an automaton.
 """
 
 from __future__ import annotations
@@ -25,30 +27,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hushgrain.storage import is_small, materialise, release
+from hushgrain.storage import is_small, lookup_join, materialise, release
 
 LENGTH = 200
-ANCHOR = 128
+ANCHOR = 64
+#: Distinct texts of a reference shard and their characters, records of a task's part of a shard, characters that a group of anchors extends over.
 MAX_TEXTS = 256
-#: Rows (of a few dozen bytes) up to which anchors and shard texts are looked up by broadcast.
-LOOKUP_ROWS = 500_000
+MAX_CHARS = 1 << 17
+MAX_ROWS = 4096
+MAX_EXTENT = 4096
+#: Log2 of the bits of the filter on records that precedes a shuffle of their texts; it is at most 4 MB as a table.
+FILTER_BITS = 24
 
-# Multipliers of two independent rolling hashes over code points, odd; any odd values do.
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+# Multiplier of the rolling hash over code points, odd; any odd value does.
+_BASE = 0x9E3779B97F4A7C15
 
 
 class _Powers:
-    """Powers of the bases and of their inverses modulo 2**64, extended as needed."""
+    """Powers of the base and of its inverse modulo 2**64, extended as needed."""
 
     def __init__(self) -> None:
-        self.n, self.up, self.down = 0, [None, None], [None, None]
+        self.n, self.up, self.down = 0, None, None
 
-    def get(self, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
             self.n = max(n, 2 * self.n, 1 << 14)
-            for i, b in enumerate(_BASES):
-                self.up[i] = np.cumprod(np.full(self.n, b, np.uint64))
-                self.down[i] = np.cumprod(np.full(self.n, pow(b, -1, 1 << 64), np.uint64))
+            self.up = np.cumprod(np.full(self.n, _BASE, np.uint64))
+            self.down = np.cumprod(np.full(self.n, pow(_BASE, -1, 1 << 64), np.uint64))
         return self.up, self.down
 
 
@@ -57,28 +62,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Hashes:
-    """Hashes of any span of one text from prefix sums."""
-
-    def __init__(self, text: str, powers: _Powers) -> None:
-        # Spark's strings are valid UTF-8; one 32-bit unit is one code point
-        a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        self.n = len(a)
-        self.up, self.down = powers.get(self.n + 1)
-        a = _mix(a + np.uint64(1))
-        self.sums = []
-        for up in self.up:
-            h = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(a * up[: self.n], out=h[1:])
-            self.sums.append(h)
-
-    def spans(self, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-        h = self.sums[which]
-        return _mix((h[end] - h[start]) * self.down[which][start])
-
-    def runs(self, k: int, which: int = 0) -> np.ndarray:
-        h = self.sums[which]
-        return _mix((h[k:] - h[:-k]) * self.down[which][: self.n - k + 1])
+def run_hashes(text: str, k: int, powers: _Powers) -> np.ndarray:
+    """The hash of every run of ``k`` characters, by prefix sums."""
+    # Spark's strings are valid UTF-8; one 32-bit unit is one code point
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(a)
+    if n < k:
+        return np.empty(0, np.uint64)
+    up, down = powers.get(n + 1)
+    h = np.zeros(n + 1, np.uint64)
+    np.cumsum(_mix(a + np.uint64(1)) * up[:n], out=h[1:])
+    return _mix((h[k:] - h[:-k]) * down[: n - k + 1])
 
 
 def minimizers(g: np.ndarray, w: int) -> np.ndarray:
@@ -106,21 +100,18 @@ def minimizers(g: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(docs: DataFrame, ident: str, text: str, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """``fp, h0, h1, doc, start, size``: each anchor's hash, and its surroundings' hashes, place and size."""
+    """``fp, doc, at``: each anchor's hash and place."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers, side = _Powers(), length - anchor
+        powers = _Powers()
         for part in parts:
             out, size = [], 0
             for doc, t in zip(part["doc"].to_numpy(), part["text"].to_numpy()):
-                h = Hashes(t, powers)
-                if h.n < length:
+                g = run_hashes(t, anchor, powers)
+                if len(g) <= length - anchor:
                     continue
-                g = h.runs(anchor)
-                at = minimizers(g, side + 1)
-                a, b = np.maximum(at - side, 0), np.minimum(at + length, h.n)
-                left = (at - a).astype(np.uint64)
-                out.append((g[at], _mix(h.spans(a, b, 0) + left), _mix(h.spans(a, b, 1) + left), np.full(len(at), doc), a, b - a))
+                at = minimizers(g, length - anchor + 1)
+                out.append((g[at].view(np.int64), np.full(len(at), doc), at))
                 size += len(at)
                 if size > 100_000:
                     yield _anchor_frame(out)
@@ -128,13 +119,67 @@ def anchors(docs: DataFrame, ident: str, text: str, length: int = LENGTH, anchor
             if out:
                 yield _anchor_frame(out)
 
-    rows = docs.where(F.col(ident).isNotNull() & (F.length(text) >= length)).select(F.col(ident).cast("long").alias("doc"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "fp long, h0 long, h1 long, doc long, start int, size int")
+    return _texts(docs, ident, text, length).mapInPandas(run, "fp long, doc long, at int")
+
+
+def _texts(docs: DataFrame, ident: str, text: str, length: int) -> DataFrame:
+    return docs.where(F.col(ident).isNotNull() & (F.length(text) >= length)).select(F.col(ident).cast("long").alias("doc"), F.col(text).alias("text"))
 
 
 def _anchor_frame(out: list) -> pd.DataFrame:
-    c = [np.concatenate(x) for x in zip(*out)]
-    return pd.DataFrame({"fp": c[0].view(np.int64), "h0": c[1].view(np.int64), "h1": c[2].view(np.int64), "doc": c[3], "start": c[4].astype(np.int32), "size": c[5].astype(np.int32)})
+    fp, doc, at = (np.concatenate(x) for x in zip(*out))
+    return pd.DataFrame({"fp": fp, "doc": doc, "at": at.astype(np.int32)})
+
+
+def groups(kept: DataFrame, side: int, extent: int = MAX_EXTENT) -> DataFrame:
+    """``fp, span``: the first anchor of each group, and how far its last lies behind it.
+
+    Anchors are chained in the first record that holds them, where they follow each other within
+    ``side + 1`` characters, occur once in each of the same records, and lie at the same distance in all of
+    them: sums of the records' hashes, plain and times the distance to the first record's place, agree.
+    """
+    per = kept.groupBy("fp", "doc").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    h = [F.pmod(F.xxhash64(F.lit(i), "doc"), F.lit(1 << 31)).cast("decimal(20,0)") for i in range(2)]
+    sums = [F.sum(x).cast("decimal(38,0)").alias(f"b{i}") for i, x in enumerate(h)] + [F.sum((x * F.col("at")).cast("decimal(24,0)")).cast("decimal(38,0)").alias(f"a{i}") for i, x in enumerate(h)]
+    sig = per.groupBy("fp").agg(F.min(F.struct("doc", "at")).alias("ref"), F.max("n").alias("most"), F.count(F.lit(1)).alias("n"), *sums)
+    same = F.struct("n", "b0", "b1", *[(F.col(f"a{i}") - (F.col("ref.at") * F.col(f"b{i}")).cast("decimal(38,0)")).cast("decimal(38,0)").alias(f"d{i}") for i in range(2)])
+    rows = sig.select("fp", F.col("ref.doc").alias("doc"), F.col("ref.at").alias("at"), "most", same.alias("same"))
+    w = W.partitionBy("doc").orderBy("at", "fp")  # one record's anchors
+    follows = (F.lag("same").over(w) == F.col("same")) & (F.col("most") == 1) & (F.lag("most").over(w) == 1) & (F.col("at") - F.lag("at").over(w) <= side + 1)
+    rows = rows.withColumn("_new", F.when(follows, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    part = ((F.col("at") - F.min("at").over(W.partitionBy("doc", "_run"))) / extent).cast("int")
+    return rows.withColumn("_part", part).groupBy("doc", "_run", "_part").agg(F.min_by("fp", "at").alias("fp"), (F.max("at") - F.min("at")).alias("span")).select("fp", "span")
+
+
+def _slices(places: DataFrame, docs: DataFrame, length: int, side: int) -> DataFrame:
+    """``key, lo, hi, doc, start, left, text``: the surroundings of each place, from ``lo`` to ``hi + length`` as seen from the anchor, which is ``left`` characters in."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for doc, t, fps, ats, spans in zip(part["doc"].tolist(), part["text"], part["fp"], part["at"], part["span"]):
+                for fp, at, span in zip(fps.tolist(), ats.tolist(), spans.tolist()):
+                    start = max(at - side, 0)
+                    out.append((fp, -side, span, doc, start, at - start, t[start : at + span + length]))
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=_PIECE)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=_PIECE)
+
+    of = places.groupBy("doc").agg(F.collect_list(F.struct("fp", "at", "span")).alias("x")).select("doc", "x.fp", "x.at", "x.span")
+    if is_small(places):
+        rows = docs.join(F.broadcast(of), "doc")
+    else:
+        slot = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
+        bit = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
+        words = places.select(slot.alias("_slot")).groupBy(F.expr("_slot div 64").alias("_word")).agg(F.bit_or(bit).alias("_mask"))
+        some = docs.withColumn("_slot", slot).withColumn("_word", F.expr("_slot div 64")).join(F.broadcast(words), "_word").where(F.col("_mask").bitwiseAND(bit) != 0)
+        rows = some.select("doc", "text").join(of, "doc")
+    return rows.mapInPandas(run, "key long, lo int, hi int, doc long, start int, left int, text string")
+
+
+_PIECE = ["key", "lo", "hi", "doc", "start", "left", "text"]
 
 
 class SuffixAutomaton:
@@ -190,8 +235,11 @@ class SuffixAutomaton:
             states.append(new)
         self.ends.append(states)
 
-    def shared(self, length: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
-        """The spans of at least ``length``: a bit mask of the texts that share one, and for each text the ends ``(text, first, last)`` of its windows of ``length`` in it."""
+    def shared(self, length: int, owners: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
+        """The spans of at least ``length`` in texts of several records: for each the ends ``(text, first, last)`` of its windows of ``length``.
+
+        ``owners`` has the least and the greatest record of each text.
+        """
         n, link, ln = len(self.len), self.link, self.len
         mask = [0] * n
         for i, states in enumerate(self.ends):
@@ -202,6 +250,7 @@ class SuffixAutomaton:
                 mask[link[s]] |= mask[s]
         crossing: dict[int, int] = {}
         found: dict[int, list[tuple[int, int, int]]] = {}
+        several: dict[int, bool] = {}
         for i, states in enumerate(self.ends):
             for end in range(length - 1, len(states)):
                 v, path = states[end], []
@@ -212,15 +261,18 @@ class SuffixAutomaton:
                 for p in path:
                     crossing[p] = v
                 m = mask[v]
-                if m & (m - 1):
+                if m not in several:
+                    of = [o for k, o in enumerate(owners) if m >> k & 1]
+                    several[m] = min(a for a, _ in of) != max(b for _, b in of)
+                if several[m]:
                     runs = found.setdefault(m, [])
                     if runs and runs[-1][0] == i and runs[-1][2] == end - 1:
                         runs[-1] = (i, runs[-1][1], end)
                     else:
                         runs.append((i, end, end))
-        return list(found.items())
+        return list(found.values())
 
-    def aligned(self, length: int) -> list[list[tuple[int, int, int]]]:
+    def aligned(self, length: int, owners: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
         """The spans of at least ``length``, each the same characters at all its places ``(text, first, last)``, the ends of its windows.
 
         A window of ``length`` is one state; windows that follow each other at all their places, and at no others, are one span.
@@ -256,7 +308,7 @@ class SuffixAutomaton:
 
         out = []
         for v, where in places.items():
-            if len({i for i, _ in where}) > 1 and beside(v, -1) is None:
+            if min(owners[i][0] for i, _ in where) != max(owners[i][1] for i, _ in where) and beside(v, -1) is None:
                 n, w = 0, v
                 while (w := beside(w, 1)) is not None:
                     n += 1
@@ -264,56 +316,70 @@ class SuffixAutomaton:
         return out
 
 
-_MEMBERS = "fp long, key long, h0 long, h1 long, first int, last int"
-
-
-def _shard_members(length: int, aligned: bool = False):
-    """Over rows sorted by ``fp``: each shard's spans and the surroundings that share them."""
+def _shard_spans(length: int, aligned: bool):
+    """Over rows sorted by shard: each shard's spans and their places in its records."""
 
-    def one(fp: int, rows: list[tuple]) -> Iterator[tuple]:
+    def one(key: int, rows: list[tuple]) -> Iterator[tuple]:
+        owners: dict[str, tuple[int, int]] = {}
+        for _, _, t, a, b in rows:
+            x = owners.get(t)
+            owners[t] = (a, b) if x is None else (min(a, x[0]), max(b, x[1]))
+        if min(a for a, _ in owners.values()) == max(b for _, b in owners.values()):
+            return
+        texts = sorted(owners)  # the same in every task that has a part of the shard
         automaton = SuffixAutomaton()
-        for _, _, t in rows:
+        for t in texts:
             automaton.add(t)
-        for key, runs in enumerate(automaton.aligned(length) if aligned else [r for _, r in automaton.shared(length)]):
-            for i, first, last in runs:
-                yield fp, key, rows[i][0], rows[i][1], first - length + 1, last + 1
+        found = (automaton.aligned if aligned else automaton.shared)(length, [owners[t] for t in texts])
+        per: dict[str, list[tuple[int, int, int]]] = {}
+        for no, places in enumerate(found):
+            for i, first, last in places:
+                per.setdefault(texts[i], []).append((no, first - length + 1, last + 1))
+        for doc, start, t, _, _ in rows:
+            if start >= 0:
+                for no, first, last in per.get(t, ()):
+                    yield key, no, doc, start + first, start + last
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fp, rows, out = None, [], []
+        at, rows, out = None, [], []
+        cols = ["key", "no", "doc", "first", "last"]
         for part in parts:
-            for f, h0, h1, t in zip(part["fp"].tolist(), part["h0"].tolist(), part["h1"].tolist(), part["text"].tolist()):
-                if f != fp:
-                    if len(rows) > 1:
-                        out += one(fp, rows)
-                    fp, rows = f, []
-                rows.append((h0, h1, t))
-            if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["fp", "key", "h0", "h1", "first", "last"])
-                out = []
-        if len(rows) > 1:
-            out += one(fp, rows)
+            for key, salt, *row in zip(*[part[c].tolist() for c in ("key", "salt", "doc", "start", "text", "a", "b")]):
+                if (key, salt) != at:
+                    if rows:
+                        out += one(at[0], rows)
+                    at, rows = (key, salt), []
+                rows.append(tuple(row))
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=cols)
+                    out = []
+        if rows:
+            out += one(at[0], rows)
         if out:
-            yield pd.DataFrame(out, columns=["fp", "key", "h0", "h1", "first", "last"])
+            yield pd.DataFrame(out, columns=cols)
 
     return run
 
 
-def _window_hashes(length: int):
-    """For shards too large for one automaton: hashes of every window of ``length``."""
+def _sizes(pieces: DataFrame) -> DataFrame:
+    """``key, narrow, n_texts, n_chars, n_rows`` of shards of several records; ``narrow``: all windows lie at one place."""
+    texts = pieces.groupBy("key", (F.col("lo") == F.col("hi")).alias("narrow"), F.xxhash64("text").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"), F.max(F.length("text")).alias("c"))
+    return texts.groupBy("key", "narrow").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("c").alias("n_chars"), F.sum("n").alias("n_rows"), F.min("a").alias("a"), F.max("b").alias("b")).where("a != b").drop("a", "b")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = _Powers()
-        for part in parts:
-            for f, h0, h1, t in zip(part["fp"].tolist(), part["h0"].tolist(), part["h1"].tolist(), part["text"].tolist()):
-                h = Hashes(t, powers)
-                if h.n >= length:
-                    a, b = h.runs(length, 0).view(np.int64), h.runs(length, 1).view(np.int64)
-                    yield pd.DataFrame({"fp": f, "k0": a, "k1": b, "h0": h0, "h1": h1, "first": np.arange(len(a), dtype=np.int32)})
 
-    return run
+def _halved(pieces: DataFrame, length: int) -> DataFrame:
+    """Each piece for either half of its windows' places, its shard told apart by the characters that all windows of the half have."""
+    mid = F.expr("cast(floor((lo + hi) / 2) as int)")
+    two = F.explode(F.array(F.struct(F.col("lo").alias("l"), mid.alias("h")), F.struct((mid + 1).alias("l"), F.col("hi").alias("h"))))
+    rows = pieces.where("lo < hi").withColumn("_r", two).withColumns({"l": F.col("_r.l"), "h": F.col("_r.h")}).drop("_r")
+    skip = F.greatest(F.col("left") + F.col("l"), F.lit(0))  # of the piece's characters
+    rows = rows.withColumn("_skip", skip).withColumn("text", F.expr(f"substring(text, _skip + 1, left + h + {length} - _skip)")).where(F.length("text") >= length)
+    rows = rows.withColumns({"start": F.col("start") + F.col("_skip"), "left": F.col("left") - F.col("_skip")})
+    common = F.when(F.col("h") - F.col("l") < length, F.expr(f"substring(text, left + h + 1, {length} - (h - l))")).otherwise("")
+    return rows.select(F.xxhash64("key", "l", "h", common).alias("key"), F.col("l").alias("lo"), F.col("h").alias("hi"), "doc", "start", "left", "text")
 
 
-def shared_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, max_texts: int = MAX_TEXTS, aligned: bool = False) -> DataFrame:
+def shared_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, max_texts: int = MAX_TEXTS, aligned: bool = False, max_rows: int = MAX_ROWS, extent: int = MAX_EXTENT) -> DataFrame:
     """``span, doc, first, last``: the places ``[first, last)`` of shared spans of at least ``length`` characters.
 
     Every run of ``length`` characters that two different records share lies within a span that has
@@ -323,46 +389,101 @@ def shared_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", len
     are left out; an empty table gives an empty one.  With ``aligned`` a span has the same
     characters at all its places; see :func:`maximal`.
     """
+    side = length - anchor
     found = materialise(anchors(docs, ident, text, length, anchor), "anchors")
-    several = found.groupBy("fp").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a != _b").select("fp")
-    several = materialise(several, "shared")
-    hint = F.broadcast if is_small(several, LOOKUP_ROWS) else (lambda x: x)
-    kept = materialise(found.join(hint(several), "fp"), "kept")
-    release(found)
-    # one text for each distinct surrounding; copies of it only count
-    classes = materialise(kept.groupBy("fp", "h0", "h1").agg(F.min(F.struct("doc", "start", "size")).alias("rep"), F.max("doc").alias("_last")), "classes")
-    per_shard = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1")
-    wanted = materialise(classes.join(per_shard, "fp").where(F.col("rep.size") >= length).select("fp", "h0", "h1", "n_texts", F.col("rep.doc").alias("doc"), F.col("rep.start").alias("start"), F.col("rep.size").alias("size")), "wanted")
-    hint = F.broadcast if is_small(wanted, LOOKUP_ROWS) else (lambda x: x)
-    body = docs.where(F.col(ident).isNotNull() & (F.length(text) >= length)).select(F.col(ident).cast("long").alias("doc"), F.col(text).alias("_text"))
-    texts = body.join(hint(wanted), "doc").select("fp", "h0", "h1", "n_texts", F.expr("substring(_text, start + 1, size)").alias("text")).dropDuplicates(["fp", "h0", "h1"])
-    texts = materialise(texts, "texts")
-    members = texts.where(F.col("n_texts") <= max_texts).select("fp", "h0", "h1", "text").repartition("fp").sortWithinPartitions("fp").mapInPandas(_shard_members(length, aligned), _MEMBERS)
-    windows = texts.where(F.col("n_texts") > max_texts).select("fp", "h0", "h1", "text").repartition("fp", "h0", "h1").mapInPandas(_window_hashes(length), "fp long, k0 long, k1 long, h0 long, h1 long, first int")
-    windows = windows.select("fp", F.xxhash64("k0", "k1").alias("key"), "h0", "h1", "first", (F.col("first") + length).cast("int").alias("last"))
-    same = classes.where((F.col("rep.size") >= length) & (F.col("rep.doc") != F.col("_last"))).select("fp", F.lit(-1).cast("long").alias("key"), "h0", "h1", F.lit(0).alias("first"), F.col("rep.size").alias("last"))
-    parts = materialise(members.unionByName(windows).unionByName(same), "members")
-    # a surrounding that is shared as a whole is a span of its own
-    span = F.when(F.col("key") == -1, F.xxhash64("fp", "h0", "h1")).otherwise(F.xxhash64("fp", "key", F.lit(1)))
-    placed = kept.join(parts, ["fp", "h0", "h1"]).select(span.alias("span"), "doc", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
-    spans = materialise(placed, "placed")
-    release(kept, classes, wanted, texts, parts, several)
-    real = spans.groupBy("span").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a != _b").select("span")
-    return spans.join(real, "span")
-
-
-def pairs(spans: DataFrame) -> DataFrame:
+    several = materialise(found.groupBy("fp").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a != _b").select("fp"), "shared")
+    kept = materialise(lookup_join(found, several, ["fp"]), "kept")
+    release(found, several)
+    places = materialise(lookup_join(kept, materialise(groups(kept, side, extent), "groups"), ["fp"]), "places")
+    release(kept)
+    pieces, used, ready = materialise(_slices(places, _texts(docs, ident, text, length), length, side), "pieces"), [places], []
+    while True:
+        sizes = materialise(_sizes(pieces), "sizes")
+        fits = (F.col("n_texts") <= max_texts) & (F.col("n_chars") <= MAX_CHARS) | F.col("narrow")
+        ready.append(lookup_join(pieces, sizes.where(fits).select("key", "n_rows"), ["key"]).select("key", "n_rows", "doc", "start", "text"))
+        used += [pieces, sizes]
+        large = sizes.where(~fits).select("key")
+        if large.isEmpty():
+            break
+        pieces = materialise(_halved(lookup_join(pieces, large, ["key"]), length), "pieces")
+    rows = ready[0]
+    for more in ready[1:]:
+        rows = rows.unionByName(more)
+    parts = F.expr(f"cast((n_rows - 1) div {max_rows} + 1 as int)")
+    own = rows.select("key", F.pmod(F.xxhash64("doc", "start"), parts).cast("int").alias("salt"), "doc", "start", "text", F.col("doc").alias("a"), F.col("doc").alias("b"))
+    # the reference of a shard that several tasks have a part of goes to each of them
+    of = rows.where(F.col("n_rows") > max_rows).groupBy("key", "n_rows", "text").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
+    reference = of.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(-1).cast("long").alias("doc"), F.lit(-1).alias("start"), "text", "a", "b")
+    placed = own.unionByName(reference).repartition("key", "salt").sortWithinPartitions("key", "salt").mapInPandas(_shard_spans(length, aligned), "key long, no int, doc long, first int, last int")
+    spans = materialise(placed.select(F.xxhash64("key", "no").alias("span"), "doc", "first", "last"), "placed")
+    release(*used)
+    return spans
+
+
+def _groups(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records of each span, and one span for each set of records with its size and ends."""
+    member = materialise(spans.select("span", "doc").distinct(), "members")
+    sign = member.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x0"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("x1"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    return member, materialise(sign.groupBy("n", "x0", "x1", "lo", "hi").agg(F.min("span").alias("span")), "signs")
+
+
+def link_groups(spans: DataFrame) -> DataFrame:
+    """``group_id, doc, n_members``: two records have a span in common just if they are in a group together.
+
+    As many rows as spans have records, never their square; groups of the same records are one, told by mergeable
+    sums of their hashes.
+    """
+    member, once = _groups(spans)
+    return lookup_join(member, once.select("span", F.col("n").alias("n_members")), ["span"]).withColumnRenamed("span", "group_id")
+
+
+def pairs(spans: DataFrame, part: int = 1024) -> DataFrame:
     """``doc_id_a, doc_id_b``: the distinct pairs of records with a span in common, the smaller first.
 
-    Spans with the same records are told by mergeable sums of their hashes and joined once.
+    Groups of the same records are joined once; a group of more than ``part`` records is joined part by part.
     """
-    member = materialise(spans.select("span", "doc").distinct(), "members")
-    sign = member.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x0"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("x1"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    once = materialise(sign.groupBy("n", "x0", "x1", "lo", "hi").agg(F.min("span").alias("span")), "signs")
+    member, once = _groups(spans)
     two = once.where("n = 2").select(F.col("lo").alias("doc_id_a"), F.col("hi").alias("doc_id_b"))
-    more = member.join(once.where("n > 2").select("span"), "span")
-    a, b = more.select("span", F.col("doc").alias("doc_id_a")), more.select("span", F.col("doc").alias("doc_id_b"))
-    return a.join(b, "span").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").unionByName(two).distinct()
+    more = lookup_join(member, once.where("n > 2").select("span", F.expr(f"cast((n - 1) div {part} + 1 as int)").alias("parts")), ["span"])
+    a = more.select("span", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), F.col("doc").alias("doc_id_a"))
+    b = more.select("span", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("doc").alias("doc_id_b"))
+    return a.join(b, ["span", "part"]).where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").unionByName(two).distinct()
+
+
+def text_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc, class_id, n_copies``: records of equal text (by SHA-256) are one class, named by the least of them; a null text is a class of its own."""
+    keyed = docs.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("doc"), F.coalesce(F.sha2(F.encode(text, "UTF-8"), 256), F.col(ident).cast("string")).alias("_h")).distinct()
+    return lookup_join(keyed, keyed.groupBy("_h").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("n_copies")), ["_h"]).select("doc", "class_id", "n_copies")
+
+
+def removed(docs: DataFrame, spans: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """``ident, text, n_removed``: texts without the spans that stand in a record of lesser ident as well.
+
+    Of every shared span the record of least ident keeps its copy.  Null and empty texts stay as they are; rows with a null ident are left out.
+    """
+    first = spans.groupBy("span").agg(F.min("doc").alias("_first"))
+    later = lookup_join(spans, materialise(first, "firsts"), ["span"]).where(F.col("doc") != F.col("_first")).select("doc", "first", "last")
+    cuts = coverage(later).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("x")).select("doc", "x.first", "x.last")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out, n = [], []
+            for t, a, b in zip(part["text"], part["first"], part["last"]):
+                if t is None or a is None:
+                    out.append(t)
+                    n.append(0)
+                    continue
+                at, kept = 0, []
+                for p, q in zip(a.tolist(), b.tolist()):
+                    kept.append(t[at:p])
+                    at = q
+                out.append("".join([*kept, t[at:]]))
+                n.append(len(t) - len(out[-1]))
+            yield pd.DataFrame({"doc": part["doc"], "text": out, "n_removed": n})
+
+    rows = docs.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("doc"), F.col(text).alias("text"))
+    cut = rows.join(F.broadcast(cuts) if is_small(cuts) else cuts, "doc", "left").select("doc", "text", "first", "last").mapInPandas(run, "doc long, text string, n_removed long")
+    return cut.withColumnsRenamed({"doc": ident, "text": text})
 
 
 def maximal(aligned: DataFrame) -> DataFrame:

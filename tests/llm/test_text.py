@@ -167,6 +167,45 @@ def test_spans_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     s = spans.shared_spans(df)
     assert spans.pairs(s).count() == 0 and spans.shares(df, spans.coverage(s)).count() == 0
+    assert spans.link_groups(s).count() == 0 and spans.removed(df, s).count() == 0 and spans.text_classes(df).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_spans_divided(spark, monkeypatch, seed):
+    """Shards halved to the end, divided among tasks, short groups, and texts reached by shuffle: the same links."""
+    rng = random.Random(20 + seed)
+    formula, long_one = mess(rng, 35), mess(rng, 150)
+    texts = {i: mess(rng, rng.randint(0, 25)) + formula[rng.randint(0, 3) :] + mess(rng, rng.randint(0, 25)) for i in range(60)}
+    texts |= {100 + i: mess(rng, 9) + long_one[i % 3 * 7 : 150 - i % 2 * 5] + mess(rng, i) for i in range(12)} | {200 + i: long_one for i in range(9)} | {300: long_one + long_one, 301: "ab" * 40, 302: "ab" * 14 + "c"}
+    monkeypatch.setattr(spans, "is_small", lambda *a: False)
+    compare(spark, texts, length=20, anchor=[12, 20][seed], max_texts=[2, 4][seed], max_rows=3, extent=16)
+
+
+def test_groups_tell_every_link(spark):
+    """Two records are linked just if they are in a group together; groups are as many rows as members."""
+    rng = random.Random(6)
+    a, b, c = (mess(rng, 60) for _ in range(3))
+    texts = {1: a + b, 2: b + c, 3: c, 4: a, 5: a + b, 6: mess(rng, 80), 7: c[:30], 8: b[5:40]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    g = {}
+    for r in spans.link_groups(spans.shared_spans(df, length=20, anchor=12)).collect():
+        g.setdefault(r.group_id, set()).add(r.doc)
+    assert len(g) == len({frozenset(v) for v in g.values()})
+    assert {(x, y) for v in g.values() for x in v for y in v if x < y} == brute(texts, 20)[0]
+    classes = {r.doc: (r.class_id, r.n_copies) for r in spans.text_classes(df.union(spark.createDataFrame([(9, None), (10, None), (11, "")], "doc_id long, text string"))).collect()}
+    assert classes[5] == (1, 2) and classes[1] == (1, 2) and classes[2] == (2, 1) and classes[9] == (9, 1) and classes[10] == (10, 1) and classes[11] == (11, 1)
+
+
+def test_removed(spark):
+    """What stands in a record of lesser ident is taken out, and nothing else."""
+    rng = random.Random(12)
+    base = [mess(rng, 60) for _ in range(4)]
+    texts = {i: mess(rng, rng.randint(0, 30)) + "".join(rng.sample(base, 2)) + mess(rng, rng.randint(0, 30)) for i in range(15)} | {20: None, 21: "", 22: base[0], 23: base[0][:19]}
+    df = spark.createDataFrame([(i, t, 5) for i, t in texts.items()], "doc_id long, text string, n_removed int")
+    got = {r.doc_id: (r.text, r.n_removed) for r in spans.removed(df, spans.shared_spans(df, length=20, anchor=12)).collect()}
+    for i, t in texts.items():
+        off = {q for p in range(len(t or "") - 19) if any(t[p : p + 20] in (u or "") for j, u in texts.items() if j < i) for q in range(p, p + 20)}
+        assert got[i] == (None if t is None else "".join(x for p, x in enumerate(t) if p not in off), len(off))
 
 
 @pytest.mark.skipif(not os.path.exists(SMALL), reason="no test data")
