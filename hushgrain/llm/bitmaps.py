@@ -4,6 +4,9 @@ Every identifier sets one bit of a bitmap of ``m`` bits; bitmaps of parts merge
 union; with ``V`` of ``m`` bits empty the count is ``-m ln(V / m)``.  A bitmap is kept as its
 non-zero 64-bit words, one row per group and word, so merging is ``bit_or`` with map-side
 combine, small groups stay small, and a hot group is spread over tasks by word.
+
+Positions are the leading bits of one hash, so a bitmap folds into a smaller one of the same
+identifiers (:func:`fold`): results of any sizes merge, at the smallest of them.
 """
 
 from __future__ import annotations
@@ -13,8 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Log2 of the largest bitmap; bit numbers are taken from 32 bits of hash.
-MAX_LOG_BITS = 32
+#: Log2 of the largest bitmap; bit numbers are taken from 64 bits of hash.
+MAX_LOG_BITS = 48
 MIN_LOG_BITS = 10
 
 
@@ -26,10 +29,16 @@ def std_error(n: float, m: int) -> float:
     return math.sqrt(m * (math.exp(t) - t - 1)) / n if t < 700 else math.inf
 
 
+def deviation(n: Column, bits: int) -> Column:
+    """Standard error of an estimate of ``n`` identifiers in ``2**bits`` bits, in identifiers."""
+    m = float(2**bits)
+    return F.sqrt(F.greatest(F.lit(m) * (F.expm1(n / m) - n / m), F.lit(0.0)))
+
+
 def log_bits(n: int, error: float) -> int:
     """Log2 of the smallest bitmap that counts up to ``n`` identifiers within ``error`` (standard error, relative).
 
-    ``n`` is an upper bound, such as the number of rows.  Raises where even 2**32 bits are too few.
+    ``n`` is an upper bound, such as the number of rows.  Raises where even ``2**MAX_LOG_BITS`` bits (for some 10**15 identifiers) are too few.
     """
     if not 0 < error < 1:
         raise ValueError("error must be between 0 and 1")
@@ -41,7 +50,11 @@ def log_bits(n: int, error: float) -> int:
 
 def position(ident: Column, bits: int) -> Column:
     """Bit number of an identifier: the leading bits of its MD5, the same in every engine.  Null for null."""
-    return F.shiftrightunsigned(F.conv(F.substring(F.md5(F.encode(ident, "UTF-8")), 1, 8), 16, 10).cast("long"), MAX_LOG_BITS - bits)
+    h = F.md5(F.encode(ident, "UTF-8"))
+    high, low = (F.conv(F.substring(h, i, 8), 16, 10).cast("long") for i in (1, 9))
+    if bits <= 32:
+        return F.shiftrightunsigned(high, 32 - bits)
+    return F.shiftleft(high, bits - 32).bitwiseOR(F.shiftrightunsigned(low, 64 - bits))
 
 
 def bitmaps(df: DataFrame, keys: list[str], ident: str, bits: int) -> DataFrame:
@@ -57,13 +70,43 @@ def merge(maps: DataFrame, keys: list[str]) -> DataFrame:
     return maps.groupBy(*keys, "word").agg(F.bit_or("mask").alias("mask"))
 
 
+def fold(maps: DataFrame, keys: list[str], bits: int, to: int) -> DataFrame:
+    """The bitmaps that the same identifiers set in ``2**to`` bits, out of those in ``2**bits``."""
+    if to > bits:
+        raise ValueError("a bitmap can't be unfolded")
+    if to == bits:
+        return maps
+    rows = maps.select(*keys, "word", "mask")
+    if bits - to >= 6:  # a word is within one bit
+        at = F.shiftright("word", bits - to - 6)
+        rows = rows.withColumn("_at", at).select(*keys, F.shiftright("_at", 6).alias("word"), F.expr("shiftleft(1L, cast(_at % 64 as int))").alias("mask"))
+    else:
+        for _ in range(bits - to):  # neighbouring bits become one, then the word half of one
+            m = F.col("mask").bitwiseOR(F.shiftrightunsigned("mask", 1)).bitwiseAND(F.lit(0x5555555555555555))
+            rows = rows.withColumn("mask", m)
+            for shift, keep in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
+                rows = rows.withColumn("mask", F.col("mask").bitwiseOR(F.shiftrightunsigned("mask", shift)).bitwiseAND(F.lit(keep)))
+            rows = rows.withColumn("mask", F.expr("shiftleft(mask, cast(32 * (word % 2) as int))")).withColumn("word", F.shiftright("word", 1))
+    return rows.groupBy(*keys, "word").agg(F.bit_or("mask").alias("mask"))
+
+
+def merge_sizes(maps: list[tuple[DataFrame, int]], keys: list[str]) -> tuple[DataFrame, int]:
+    """Union of bitmaps of several sizes, given with the log2 of their bits, at the smallest of these."""
+    to = min(bits for _, bits in maps)
+    cols = [*keys, "word", "mask"]
+    rows = None
+    for df, bits in maps:
+        part = fold(df, keys, bits, to).select(*cols)
+        rows = part if rows is None else rows.unionByName(part)
+    return merge(rows, keys), to
+
+
 def merge_combinations(maps: DataFrame, keys: list[str]) -> DataFrame:
     """Unions for every combination of keys, with ``level``: bit *i* from the left is 1 where key *i* is merged away."""
     names = [f"`{k}`" for k in keys]
     sets = ", ".join("(" + ", ".join([*(n for i, n in enumerate(names) if not (mask >> (len(keys) - 1 - i)) & 1), "word"]) + ")" for mask in range(2 ** len(keys)))
-    maps.createOrReplaceTempView(view := "_hg_maps")
     level = f"grouping_id({', '.join([*names, 'word'])})"
-    return maps.sparkSession.sql(f"SELECT {', '.join(names)}, CAST(shiftright({level}, 1) AS INT) AS level, word, bit_or(mask) AS mask FROM {view} GROUP BY {', '.join([*names, 'word'])} GROUPING SETS ({sets})")
+    return maps.sparkSession.sql(f"SELECT {', '.join(names)}, CAST(shiftright({level}, 1) AS INT) AS level, word, bit_or(mask) AS mask FROM {{maps}} GROUP BY {', '.join([*names, 'word'])} GROUPING SETS ({sets})", maps=maps)
 
 
 def estimate(maps: DataFrame, keys: list[str], bits: int) -> DataFrame:

@@ -18,6 +18,8 @@ from hushgrain.storage import lookup_join, materialise, release
 def weights(df: DataFrame, keys: list[str], ident: str, value: str, resolution: float = 1) -> DataFrame:
     """``keys..., value, weight``: the mergeable form; each ``ident`` once per group, values in units of ``resolution``.
 
+    It has a row for each distinct value of a group, so for real numbers ``resolution`` is what bounds it.
+
     Rows with a null identifier or value are left out.
     """
     once = df.where(F.col(ident).isNotNull() & F.col(value).isNotNull()).groupBy(*keys, ident).agg(F.min(value).alias("value"))
@@ -50,13 +52,14 @@ def select(data: DataFrame, keys: list[str], ranks: dict[str, str], halvings: in
         widest = state.agg(F.max(F.col("hi") - F.col("lo"))).first()[0]
         if not widest:
             break
-        open_ = state.where("hi > lo").withColumn("width", F.expr(f"(hi - lo + {parts}) div {parts}"))
-        slot = F.expr("(value - lo) div width")
-        inside = lookup_join(named, open_.select(*k, "name", "lo", "hi", "width"), k).where("value BETWEEN lo AND hi")
-        counts = inside.groupBy(*k, "name", slot.alias("slot")).agg(F.sum("weight").alias("weight"))
-        w = W.partitionBy(*k, "name").orderBy("slot")  # at most 2**halvings rows
+        open_ = state.where("hi > lo")
+        # intervals of a group are the same or apart, so a value lies in at most one and no row multiplies
+        ask = open_.select(*k, "lo", "hi").distinct().withColumn("width", F.expr(f"(hi - lo + {parts}) div {parts}"))
+        inside = lookup_join(named, ask, k, where=F.col("value").between(F.col("lo"), F.col("hi")))
+        counts = inside.groupBy(*k, "lo", "width", F.expr("(value - lo) div width").alias("slot")).agg(F.sum("weight").alias("weight"))
+        w = W.partitionBy(*k, "lo").orderBy("slot")  # at most 2**halvings rows
         below = counts.withColumn("below", F.sum("weight").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("weight"))
-        kept = open_.join(below, [*k, "name"]).where("below < left AND left <= below + weight")
+        kept = open_.join(below, [*k, "lo"]).where("below < left AND left <= below + weight")
         lo = F.col("lo") + F.col("slot") * F.col("width")
         kept = kept.select(*k, "n", lo.alias("lo"), F.least(F.col("hi"), lo + F.col("width") - 1).alias("hi"), "name", "rank", (F.col("left") - F.col("below")).alias("left"))
         new = materialise(kept.unionByName(state.where("hi = lo")), "intervals")

@@ -18,18 +18,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from hushgrain.storage import materialise
 
 #: A buffer overflows at this many times the sample's size.
 OVERFLOW = 4
 
 
+def _hash(*idents: Column, seed: int) -> Column:
+    """MD5 of a seed and an identity; a null part counts as ``\\N``."""
+    return F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(i.cast("string"), F.lit("\\N")) for i in idents]), "UTF-8"))
+
+
 def uniform(*idents: Column, seed: int = 0) -> Column:
-    """A uniform 62-bit number of an identity."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *idents), 2)
+    """A uniform 60-bit number of an identity, the same in every engine."""
+    return F.conv(F.substring(_hash(*idents, seed=seed), 1, 15), 16, 10).cast("long")
 
 
-_TOP = 2**62
+_BITS = 60
+_TOP = 2**_BITS
 
 
 def _thin(buf: pd.DataFrame, keys: list[str], size: int) -> pd.DataFrame:
@@ -44,7 +51,7 @@ def _thin(buf: pd.DataFrame, keys: list[str], size: int) -> pd.DataFrame:
         keep &= u < (_TOP >> top[code].astype(np.int64))
         count = np.bincount(code[keep], minlength=len(top))
         after = np.bincount(code[keep & (u < (_TOP >> (top[code].astype(np.int64) + 1)))], minlength=len(top))
-        over = (count > OVERFLOW * size) & (after >= size) & (top < 61)
+        over = (count > OVERFLOW * size) & (after >= size) & (top < _BITS - 1)
         if not over.any():
             break
         top[over] += 1
@@ -69,10 +76,10 @@ def partial_samples(df: DataFrame, keys: list[str], ident: str, value: str, size
             new.append(part)
             held += len(part)
             if buf is None or held > max(20_000, len(buf)):
-                buf = _thin(pd.concat([buf, *new] if buf is not None else new, ignore_index=True).drop_duplicates([*keys, "ident"]), keys, size)
+                buf = _thin(pd.concat([buf, *new] if buf is not None else new, ignore_index=True).drop_duplicates([*keys, "ident", "value"]), keys, size)
                 new, held = [], 0
         if new:
-            buf = _thin(pd.concat([buf, *new] if buf is not None else new, ignore_index=True).drop_duplicates([*keys, "ident"]), keys, size)
+            buf = _thin(pd.concat([buf, *new] if buf is not None else new, ignore_index=True).drop_duplicates([*keys, "ident", "value"]), keys, size)
         if buf is not None and len(buf):
             for i in range(0, len(buf), 50_000):
                 yield buf.iloc[i : i + 50_000]
@@ -89,13 +96,15 @@ def merged_sample(parts: DataFrame, keys: list[str], size: int) -> DataFrame:
     """``keys..., ident, value, u, n_taken``: exactly ``size`` records per group, or all if there are fewer.
 
     Rates are equalised at the highest level of the group's buffers, then thinned further by
-    the merged counts per level (at most 62 a group), so that the last step, which ranks a
-    group's records in one task, sees a few times ``size`` records of each group.
+    the merged counts per level (at most 60 a group), so that the last step, which ranks a
+    group's records in one task, sees a few times ``size`` records of each group.  The buffers' records
+    are written once, since both the counts and the last step read them.
     """
     k = [f"_k{i}" for i in range(len(keys))]
     named = parts.select(*[F.struct(F.col(f"`{c}`").alias("v")).alias(n) for c, n in zip(keys, k)], "ident", "value", "u", "level")
-    depth = F.lit(61) - F.floor(F.log2(F.greatest(F.col("u"), F.lit(1)).cast("double"))).cast("int")
-    once = named.groupBy(*k, "ident").agg(F.min("value").alias("value"), F.min("u").alias("u"), F.max("level").alias("level")).withColumn("depth", F.greatest(F.lit(0), depth))
+    depth = F.lit(_BITS) - F.length(F.bin("u"))
+    once = named.groupBy(*k, "ident").agg(F.min("value").alias("value"), F.min("u").alias("u"), F.max("level").alias("level")).withColumn("depth", depth)
+    once = materialise(once, "buffers")
     # records at or below the group's highest level are complete in every buffer
     hist = once.groupBy(*k, "depth").agg(F.count(F.lit(1)).alias("n"), F.max("level").alias("level"))
     deepest = W.partitionBy(*k).orderBy(F.desc("depth"))
@@ -119,20 +128,6 @@ def fixed_sample(df: DataFrame, keys: list[str], ident: str, value: str, size: i
     return merged_sample(partial_samples(df, keys, ident, value, size, seed), keys, size)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("value", T.LongType()), T.StructField("u", T.DoubleType())])))
-def _order_statistics(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Give a part's sampled values the least of as many uniform numbers as the part has records."""
-    for samples, sizes, seeds in parts:
-        out = []
-        for values, n, seed in zip(samples, sizes, seeds):
-            rng = np.random.default_rng(int(seed) & (2**63 - 1))
-            values = rng.permutation(np.asarray(values, dtype=np.int64))
-            left = n - np.arange(len(values))
-            gaps = np.cumsum(rng.exponential(size=len(values)) / left)  # exponential spacings
-            out.append([{"value": int(v), "u": float(u)} for v, u in zip(values, -np.expm1(-gaps))])
-        yield pd.Series(out)
-
-
 def sample_of_samples(parts: DataFrame, keys: list[str], identity: list[str], n: str, samples: str, size: int, seed: int = 0) -> DataFrame:
     """A uniform sample of records out of parts that hold a uniform sample each.
 
@@ -140,20 +135,26 @@ def sample_of_samples(parts: DataFrame, keys: list[str], identity: list[str], n:
     ``samples`` its array of sampled values.  The values get the least of ``n`` uniform numbers, as
     if all had been seen; a truncated part is known only up to its largest.  Rates are equalised at
     the least such bound of the group, and the ``size`` least numbers are the sample.  The bounding
-    part alone fills the sample when ``size`` is at most the parts' own size; otherwise a group can
-    come out smaller, never biased.  Returns ``keys..., value, u, n_taken, n_records``.
+    part alone fills the sample when ``size`` is at most the parts' own size; beyond it a group can
+    come out smaller, never biased: the parts hold too few records then.  Returns ``keys..., value, u, n_taken, n_records``.
 
     Parts with a null or non-positive ``n`` or without samples hold no records.
     """
-    once = parts.where(F.col(n) > 0).where(F.size(samples) > 0).select(*dict.fromkeys([*keys, *identity, n, samples])).dropDuplicates([*identity, n])
-    drawn = once.select(*keys, F.col(n).alias("_n"), F.size(samples).alias("_s"), _order_statistics(F.col(samples).cast("array<long>"), F.col(n).cast("long"), F.xxhash64(F.lit(seed), *identity)).alias("_d"))
-    bound = F.when(F.col("_s") < F.col("_n"), F.array_max(F.transform("_d", lambda x: x["u"])))
     k = [f"_k{i}" for i in range(len(keys))]
-    named = drawn.select(*[F.struct(F.col(f"`{c}`").alias("v")).alias(x) for c, x in zip(keys, k)], "_n", "_d", bound.alias("_bound"))
-    limit = named.groupBy(*k).agg(F.sum("_n").alias("n_records"), F.min("_bound").alias("_bound"))
-    limit = limit.withColumn("_bound", F.least(F.coalesce("_bound", F.lit(1.0)), F.lit(1.0)))
-    rows = named.drop("_bound").join(limit.withColumnRenamed("_bound", "_lim"), k).select(*k, "n_records", "_lim", F.explode("_d").alias("_x"))
-    rows = rows.select(*k, "n_records", "_lim", F.col("_x.value").alias("value"), F.col("_x.u").alias("u")).where("u <= _lim")
+    part = [f"_p{i}" for i in range(len(identity))]
+    sizes = F.col(n).cast("long").alias("_n")
+    once = parts.where(F.col(n) > 0).where(F.size(samples) > 0).select(*[F.struct(F.col(f"`{c}`").alias("v")).alias(x) for c, x in zip([*keys, *identity], [*k, *part])], sizes, F.col(samples).alias("_v")).dropDuplicates([*part, "_n"])
+    values = once.select(*k, *part, "_n", F.size("_v").alias("_s"), F.posexplode(F.col("_v").cast("array<long>")).alias("_i", "value")).withColumn("_h", _hash(*[F.col(f"{x}.v") for x in part], F.col("_i"), seed=seed))
+    # in the order of a hash, the j-th of n uniform numbers follows the one before it by an exponential spacing
+    within = W.partitionBy(*part, "_n")
+    rank = F.row_number().over(within.orderBy("_h")) - 1
+    e = -F.log((F.conv(F.substring("_h", 16, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52))
+    gaps = values.withColumn("_j", rank).withColumn("_g", e / (F.col("_n") - F.col("_j")))
+    drawn = gaps.withColumn("u", -F.expm1(-F.sum("_g").over(within.orderBy("_j").rowsBetween(W.unboundedPreceding, 0))))
+    drawn = materialise(drawn.select(*k, "_j", "_n", "_s", "value", "u"), "drawn")
+    # a truncated part is known up to its largest number
+    limit = drawn.groupBy(*k).agg(F.sum(F.when(F.col("_j") == 0, F.col("_n"))).alias("n_records"), F.min(F.when((F.col("_j") == F.col("_s") - 1) & (F.col("_s") < F.col("_n")), F.col("u"))).alias("_lim"))
+    rows = drawn.join(limit.withColumn("_lim", F.coalesce("_lim", F.lit(1.0))), k).select(*k, "n_records", "_lim", "value", "u").where("u <= _lim")
     depth = F.floor(-F.log2(F.greatest(F.col("u"), F.lit(1e-300)))).cast("int")
     rows = rows.withColumn("depth", depth)
     hist = rows.groupBy(*k, "depth").agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ Texts are encoded as ordinary text: a string that looks like a marker is no mark
 Null and empty texts have no ids.
 
 Tree concatenation of long texts: a text is halved, and its halves are encoded in parallel
-rows.  A cut where white space follows other text always separates two pre-tokens, so the
+threads (the encoder runs outside the interpreter's lock), so texts are read once and none is shuffled.  A cut where white space follows other text always separates two pre-tokens, so the
 halves' ids agree with the whole's as they are.  Only text that has no such place is cut
 inside a pre-token; there windows around each join are encoded again, growing until their
 first and last token agree with what both sides have.  Then every pair of neighbours is one
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import sys
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,9 @@ _PRE_TOKEN = regex.compile(PATTERN.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S"
 _BLANK = regex.compile(f"[{_SPACE}]+")
 #: Characters (bytes of a single pre-token) that are encoded in one go.
 LEAF = 16_384
-#: Texts of more characters are spread over rows.
+#: Texts of more characters are encoded by several threads.
 SPREAD = 32_768
+THREADS = 4
 
 
 def encoder(path: str = VOCABULARY):
@@ -155,13 +157,15 @@ def concatenate(enc, leaves: list[tuple[bool, np.ndarray]]) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
-def encode_text(enc, text: str | None, leaf: int = LEAF) -> np.ndarray:
-    """The ids of one text, in one process."""
+def encode_text(enc, text: str | None, leaf: int = LEAF, pool: ThreadPoolExecutor | None = None) -> np.ndarray:
+    """The ids of one text; its leaves go to the threads of ``pool`` if there is one."""
     if not text:
         return np.empty(0, np.uint32)
     if len(text) <= leaf:
         return enc.encode_to_numpy(text)
-    return concatenate(enc, [(raw, encode_leaf(enc, raw, b)) for raw, b in halves(text, leaf)])
+    leaves = halves(text, leaf)
+    ids = (map if pool is None else pool.map)(lambda x: encode_leaf(enc, *x), leaves)
+    return concatenate(enc, [(raw, x) for (raw, _), x in zip(leaves, ids)])
 
 
 def _batch(schema: pa.Schema, ids: list, tokens: list[np.ndarray], count_only: bool) -> pa.RecordBatch:
@@ -177,57 +181,26 @@ def _batch(schema: pa.Schema, ids: list, tokens: list[np.ndarray], count_only: b
 def encode(df: DataFrame, ident: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, count_only: bool = False, leaf: int = LEAF, spread: int = SPREAD) -> DataFrame:
     """``ident, ids`` (array of int), or with ``count_only`` ``ident, n_tokens``: one row per row of ``df``.
 
-    Null and empty texts give an empty list (0 tokens).  ``ident`` should be unique and not null;
-    rows that share it keep their own row up to ``spread`` characters, beyond which
-    texts of equal ident are told apart by a row number of the scan.  Other columns are ignored.
+    Null and empty texts give an empty list (0 tokens).  ``ident`` may be null or repeated; each row
+    keeps its own.  Texts of more than ``spread`` characters use several threads.  Other columns are ignored.
     """
     kind = df.schema[ident].dataType.simpleString()
     out = f"`{ident}` {kind}, " + ("n_tokens bigint" if count_only else "ids array<int>")
     names = [ident, "n_tokens" if count_only else "ids"]
-    rows = df.select(F.col(ident).alias(ident), F.col(text).alias("_text"))
-    is_long = F.coalesce(F.length("_text") > spread, F.lit(False))
 
-    def short(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for part in parts:
-            start, got, size = 0, [], 0
-            for i, t in enumerate(part.column(1)):
-                got.append(encode_text(enc, t.as_py(), leaf))
-                size += len(got[-1])
-                if size > 2_000_000:
+        with ThreadPoolExecutor(THREADS) as pool:
+            for part in parts:
+                start, got, size = 0, [], 0
+                for i, t in enumerate(part.column(1)):
+                    t = t.as_py()
+                    got.append(encode_text(enc, t, leaf, pool if t and len(t) > spread else None))
+                    size += len(got[-1])
+                    if size > 2_000_000:
+                        yield _batch(names, part.column(0).slice(start, len(got)), got, count_only)
+                        start, got, size = i + 1, [], 0
+                if got:
                     yield _batch(names, part.column(0).slice(start, len(got)), got, count_only)
-                    start, got, size = i + 1, [], 0
-            if got:
-                yield _batch(names, part.column(0).slice(start, len(got)), got, count_only)
-
-    def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for i in range(part.num_rows):
-                leaves = halves(part.column(2)[i].as_py(), leaf)
-                n = len(leaves)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column(0)[i].as_py()] * n, part.schema.field(0).type), pa.array([part.column(1)[i].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([r for r, _ in leaves]), pa.array([b for _, b in leaves], pa.binary())],
-                    names=[ident, "_row", "_no", "_raw", "_data"],
-                )
-
-    def leaves_ids(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
-        for part in parts:
-            got = [encode_leaf(enc, r.as_py(), b.as_py()) for r, b in zip(part.column(3), part.column(4))]
-            ids = _batch(["a", "b"], part.column(2), got, False).column(1)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), ids], names=[ident, "_row", "_no", "_raw", "_ids"])
 
-    def whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
-        for part in parts:
-            for i in range(part.num_rows):
-                leaves = sorted(part.column(1)[i].as_py(), key=lambda x: x["_no"])
-                ids = concatenate(enc, [(x["_raw"], np.asarray(x["_ids"], np.uint32)) for x in leaves])
-                yield _batch(names, part.column(0).slice(i, 1), [ids], count_only)
-
-    few = rows.where(~is_long).mapInArrow(short, out)
-    many = rows.where(is_long).select(ident, F.monotonically_increasing_id().alias("_row"), "_text").mapInArrow(split, f"`{ident}` {kind}, _row bigint, _no int, _raw boolean, _data binary")
-    many = many.repartition(F.col(ident), F.col("_no")).mapInArrow(leaves_ids, f"`{ident}` {kind}, _row bigint, _no int, _raw boolean, _ids array<int>")
-    # one list per text, as large as the text itself
-    many = many.groupBy(ident, "_row").agg(F.collect_list(F.struct("_no", "_raw", "_ids")).alias("_leaves")).select(ident, "_leaves").mapInArrow(whole, out)
-    return few.unionByName(many)
+    return df.select(F.col(ident).alias(ident), F.col(text).alias("_text")).mapInArrow(run, out)

@@ -18,7 +18,7 @@ def test_bitmap_sizes():
         b = bitmaps.log_bits(n, 0.01)
         assert bitmaps.std_error(n, 2**b) <= 0.01
     with pytest.raises(ValueError):
-        bitmaps.log_bits(10**15, 0.001)
+        bitmaps.log_bits(10**17, 0.001)
     with pytest.raises(ValueError):
         bitmaps.log_bits(10, 0)
 
@@ -44,6 +44,19 @@ def test_combinations(spark):
     assert got[(None, None, 3)] == 3 and got[(None, "x", 2)] == 3 and got[("a", None, 1)] == 1 and got[(None, None, 1)] == 1 and got[("a", "y", 0)] == 1
 
 
+def test_folded_sizes_merge(spark):
+    """A bitmap folds to what the same identifiers set in fewer bits, and results of two sizes merge."""
+    df = spark.createDataFrame([("a" if i % 3 else None, f"u{i}") for i in range(3000)], "g string, id string")
+    rows = lambda x: sorted((str(r.g), r.word, r.mask) for r in x.collect())
+    for bits, to in ((44, 40), (20, 12), (16, 10), (15, 14), (18, 13), (34, 11), (40, 33)):
+        assert rows(bitmaps.fold(bitmaps.bitmaps(df, ["g"], "id", bits), ["g"], bits, to)) == rows(bitmaps.bitmaps(df, ["g"], "id", to))
+    half = F.crc32("id") % 2 == 0
+    merged, bits = bitmaps.merge_sizes([(bitmaps.bitmaps(df.where(half), ["g"], "id", 20), 20), (bitmaps.bitmaps(df.where(~half), ["g"], "id", 16), 16)], ["g"])
+    assert bits == 16 and rows(merged) == rows(bitmaps.bitmaps(df, ["g"], "id", 16))
+    with pytest.raises(ValueError):
+        bitmaps.fold(merged, ["g"], 16, 17)
+
+
 # --- samples ---
 
 
@@ -78,11 +91,11 @@ def test_sample_thinning_never_below_size():
     import numpy as np
     import pandas as pd
 
-    u = np.random.default_rng(1).integers(0, 2**62, 5000)
+    u = np.random.default_rng(1).integers(0, sampling._TOP, 5000)
     buf = pd.DataFrame({"g": "a", "ident": range(5000), "value": 0, "u": u, "level": 0})
     out = sampling._thin(buf, ["g"], 30)
     level = out["level"].iloc[0]
-    assert 30 <= len(out) <= 120 and set(out["u"]) == {x for x in u if x < (2**62 >> level)}
+    assert 30 <= len(out) <= 120 and set(out["u"]) == {x for x in u if x < (sampling._TOP >> level)}
 
 
 def test_sample_of_samples(spark):

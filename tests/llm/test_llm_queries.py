@@ -16,7 +16,7 @@ def plain(rows, names):
 
 
 @pytest.mark.skipif(not os.path.exists(SMALL), reason="no test data")
-@pytest.mark.parametrize("name", ["p2_found", "p2_combinations", "p2_runs", "p5_found", "p5_percentiles", "p5_bin_percentiles"])
+@pytest.mark.parametrize("name", ["p2_found", "p2_combinations", "p2_runs", "p2_run_combinations", "p4_length_sample", "p4_piecewise_sample", "p4_parts_sample", "p5_found", "p5_percentiles", "p5_bin_percentiles", "p7_constraints", "p8_found", "p8_shares", "p8_spans", "p8_removed", "p8_classes"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SMALL):

@@ -85,6 +85,24 @@ def test_best_fit_attention_cost():
         packing.vector_best_fit(np.array([101]), 100, 9, 20_000)
 
 
+@pytest.mark.parametrize("sizes,items,cost,want", [([60, 60], 9, 10_000, 2), ([1] * 7, 3, 10_000, 3), ([50, 50], 9, 4_000, 2), ([80, 10, 10], 9, 5_000, 2), ([50, 50], 9, 5_000, 1)])
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_each_capacity_alone_refuses(sizes, items, cost, want, rule):
+    """Tokens, items, and attention cost; an item beyond the cost is alone, not split."""
+    bins = packing.vector_best_fit(np.array(sizes), 100, items, cost, rule=rule)
+    assert len(set(bins.tolist())) == want
+
+
+def test_cost_binds_in_production(spark):
+    """Two items that fit by tokens but not by cost part ways; a full one has a container of its own."""
+    df = spark.createDataFrame([(1, 1800), (2, 248), (3, 1850), (4, 190), (5, 2048), (6, 2000)], "doc_id long, n long")
+    loads = {}
+    for r in packing.pack(df, "doc_id", "n").collect():
+        loads.setdefault(r.container_id, []).append(r.n_tokens)
+    assert sorted(map(sorted, loads.values())) == [[190, 248], [1800], [1850], [2000], [2048]] or sorted(map(sorted, loads.values())) == [[190], [248, 1800], [1850], [2000], [2048]]
+    assert all(len(v) == 1 or sum(x * x for x in v) <= packing.COST_SHARE * 2048**2 for v in loads.values())
+
+
 def test_pack_table(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice([3, 40, 500, 900, 1100, 2048, 5000])) for i in range(3000)] + [(9000, None), (9001, 0), (9002, -4), (9003, 2049)]
