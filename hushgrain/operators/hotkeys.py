@@ -8,6 +8,8 @@ every task sends at most one row per key and bucket, and no task sees a key's va
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,6 +49,12 @@ def keyed_quantiles(compact: DataFrame, keys: list[str], percents: list[int], bi
     for p in percents:
         if not 0 < p <= 100:
             raise ValueError(f"percent out of range: {p}")
+    wanted = _select(compact, keys, lambda t: t.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents]))).withColumn("rank", F.greatest(F.lit(1), F.expr("(n_values * percent + 99) div 100"))), bits_per_pass)
+    return wanted.select(*keys, "n", "n_values", "percent", "value")
+
+
+def _select(compact: DataFrame, keys: list[str], ask: Callable[[DataFrame], DataFrame], bits_per_pass: int) -> DataFrame:
+    """Exact selection: ``keys..., n, n_values``, what ``ask`` adds to the keys' totals, its ``rank`` among them, and the ``value`` of that rank."""
     k = [f"_k{i}" for i in range(len(keys))]
     # null keys get a key that equality finds
     named = compact.select(*[F.struct(F.col(f"`{c}`").alias("v")).alias(n) for c, n in zip(keys, k)], "value", "weight")
@@ -58,9 +66,9 @@ def keyed_quantiles(compact: DataFrame, keys: list[str], percents: list[int], bi
     first = data.groupBy(*k, F.shiftright("value", shift).alias("bucket")).agg(F.sum("weight").alias("weight"))
     first = materialise(first, "histogram")
     totals = first.groupBy(*k).agg(F.sum("weight").alias("n"), F.coalesce(F.sum(F.when(F.col("bucket").isNotNull(), F.col("weight"))), F.lit(0)).alias("n_values"))
-    wanted = totals.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
-    wanted = wanted.withColumn("rank", F.greatest(F.lit(1), F.expr("(n_values * percent + 99) div 100")))
-    state = _narrow(wanted.join(first.where("bucket IS NOT NULL"), k), k)
+    asked = ask(totals.select(*k, *[F.col(f"{n}.v").alias(c) for c, n in zip(keys, k)], "n", "n_values"))
+    wanted = asked.withColumn("_want", F.col("rank"))
+    state = _narrow(wanted.select(*k, F.col("rank").alias("_want"), "rank").distinct().join(first.where("bucket IS NOT NULL"), k), k)
     used = []
     while shift > 0:
         state = materialise(state, "ranks")
@@ -69,36 +77,46 @@ def keyed_quantiles(compact: DataFrame, keys: list[str], percents: list[int], bi
         inside = lookup_join(data.withColumn("bucket", F.shiftright("value", done)), state.select(*k, "bucket").distinct(), [*k, "bucket"])
         finer = inside.groupBy(*k, F.col("bucket").alias("above"), F.shiftright("value", shift).alias("bucket")).agg(F.sum("weight").alias("weight"))
         state = _narrow(state.withColumnRenamed("bucket", "above").join(finer, [*k, "above"]), k)
-    found = materialise(state, "quantiles")
+    found = materialise(state.select(*k, "_want", (F.col("bucket") + F.lit(low)).alias("value")).distinct(), "quantiles")
     release(*used)
-    out = wanted.select(*k, "n", "n_values", "percent").join(found.select(*k, "percent", (F.col("bucket") + F.lit(low)).alias("value")), [*k, "percent"], "left")
-    return out.select(*[F.col(f"{n}.v").alias(c) for c, n in zip(keys, k)], "n", "n_values", "percent", "value")
+    return wanted.join(found, [*k, "_want"], "left").drop(*k, "_want")
 
 
 def _narrow(joined: DataFrame, k: list[str]) -> DataFrame:
     """The bucket that holds the rank, and the rank within it.  At most 2**bits rows a window."""
-    w = W.partitionBy(*k, "percent").orderBy("bucket")
+    w = W.partitionBy(*k, "_want").orderBy("bucket")
     below = F.sum("weight").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("weight")
-    return joined.withColumn("_below", below).where("_below < rank AND rank <= _below + weight").select(*k, "n", "n_values", "percent", (F.col("rank") - F.col("_below")).alias("rank"), "bucket")
+    return joined.withColumn("_below", below).where("_below < rank AND rank <= _below + weight").select(*k, "_want", (F.col("rank") - F.col("_below")).alias("rank"), "bucket")
 
 
-def heavy_keys(reads: DataFrame, shares: dict[str, float], percents: list[int] = (50,)) -> DataFrame:
+def heavy_keys(reads: DataFrame, shares: dict[str, float]) -> DataFrame:
     """Keys that hold at least a share of the distinct reads of their kind.
 
-    ``reads`` has ``key_kind, ident, key_value, value`` (long); ``shares`` the least share by
-    kind.  Returns ``key_kind, key_value, n, total, percent, value``: the key's reads, the
-    kind's distinct identifiers, and the key's quantiles.
+    ``reads`` has ``key_kind, ident, key_value``; ``shares`` the least share by kind.  Returns
+    ``key_kind, key_value, n, total``: the key's reads and the kind's distinct identifiers.
 
-    Each identifier counts once per key, with its least value if it comes with several;
-    null identifiers are left out.  A null key counts in the total but is no key.
+    Reads are put in the order of their key's hash.  A key that holds ``least`` of them fills a run of ranks
+    that has a multiple of ``least``, so exact selection at these ranks, at most ``1 / share`` of them, meets
+    every such key: histograms of the hashes' bits are refined only where a wanted rank lies, and no table of all
+    keys is ever ordered or gathered.  The keys under the few hashes found are then compared with ``least``.
+
+    Each identifier counts once per key; null identifiers are left out.  A null key counts in the
+    total but is no key.
     """
-    once = reads.where("ident IS NOT NULL").repartition("ident").groupBy("key_kind", "ident", "key_value").agg(F.min("value").alias("value"))
-    counts = once.where("key_value IS NOT NULL").groupBy("key_kind", "key_value", "value").agg(F.count(F.lit(1)).alias("weight"))
+    once = reads.where("ident IS NOT NULL").repartition("ident").select("key_kind", "ident", "key_value").distinct()
+    counts = once.where("key_value IS NOT NULL").groupBy("key_kind", "key_value").agg(F.count(F.lit(1)).alias("weight"))
     totals = once.groupBy("key_kind", "ident").agg(F.lit(1).alias("one")).groupBy("key_kind").agg(F.count(F.lit(1)).alias("weight"))
-    both = counts.withColumn("is_total", F.lit(False)).unionByName(totals.withColumn("is_total", F.lit(True)), allowMissingColumns=True)
-    both = materialise(both, "weights")
-    quantiles = keyed_quantiles(both.where("NOT is_total"), ["key_kind", "key_value"], list(percents))
-    total = both.where("is_total").select("key_kind", F.col("weight").alias("total"))
-    least = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("key_kind")]
+    hashed = counts.withColumn("value", F.shiftrightunsigned(F.xxhash64("key_value"), 32))
+    both = materialise(hashed.unionByName(totals, allowMissingColumns=True), "weights")
+    keys = both.where("key_value IS NOT NULL")
+    share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("key_kind")]
     # one row a kind, so this side is tiny whatever the data
-    return quantiles.join(F.broadcast(total), "key_kind").where(F.col("n") >= F.col("total") * least)
+    total = F.broadcast(both.where("key_value IS NULL").select("key_kind", F.col("weight").alias("total"), F.greatest(F.lit(1), F.ceil(F.col("weight") * share)).cast("long").alias("least")))
+
+    def ranks(t: DataFrame) -> DataFrame:
+        steps = t.join(total, "key_kind").where("n_values >= least")
+        return steps.withColumn("rank", F.explode(F.expr("sequence(least, n_values, least)")))
+
+    found = _select(keys, ["key_kind"], ranks, 8).select("key_kind", "value").distinct()
+    met = keys.join(F.broadcast(found), ["key_kind", "value"]).join(total, "key_kind")  # 1 / share rows a kind
+    return met.where("weight >= least").select("key_kind", "key_value", F.col("weight").alias("n"), "total")

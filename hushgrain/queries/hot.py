@@ -16,8 +16,8 @@ def _alignments(spark, d, *more):
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Contigs with 5 % and barcodes with 2 % of the distinct reads of their table."""
-    a = _alignments(spark, d, "read_length").select(F.lit("contig").alias("key_kind"), F.col("qname").alias("ident"), F.col("contig_key").alias("key_value"), F.col("read_length").cast("long").alias("value"))
-    i = table(spark, d, "intergenic_reads").select(F.lit("cell_barcode").alias("key_kind"), F.col("qname").alias("ident"), names.barcode(F.col("cell_barcode")).alias("key_value"), (F.col("end_pos") - F.col("start_pos")).alias("value"))
+    a = _alignments(spark, d).select(F.lit("contig").alias("key_kind"), F.col("qname").alias("ident"), F.col("contig_key").alias("key_value"))
+    i = table(spark, d, "intergenic_reads").select(F.lit("cell_barcode").alias("key_kind"), F.col("qname").alias("ident"), names.barcode(F.col("cell_barcode")).alias("key_value"))
     return hotkeys.heavy_keys(a.unionByName(i), {"contig": 0.05, "cell_barcode": 0.02}).select("key_kind", "key_value")
 
 

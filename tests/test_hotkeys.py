@@ -11,14 +11,14 @@ from hushgrain.storage import lookup_join, materialise, release
 def test_quantiles_against_sorting(spark):
     """A hot key, ties, single values, null keys and null values, negative numbers."""
     rng = random.Random(3)
-    groups = {"hot": [rng.randint(-5000, 10**9) for _ in range(4000)], "ties": [7] * 90 + [8], "one": [-3], None: [1, 2, 3]}
+    groups = {"hot": [rng.randint(-5000, 10**9) for _ in range(4000)], "ties": [7] * 90 + [8], "one": [-3], "two": [5, 9], None: [1, 2, 3]}
     rows = [(g, v, 1) for g, vs in groups.items() for v in vs] + [("none", None, 1), ("one", None, 2)]
     df = spark.createDataFrame(rows, "k string, v long, bucket int")
     for bits in (3, 8):
-        got = {(r.k, r.percent): r for r in hotkeys.keyed_quantiles(materialise(hotkeys.weighted(df, ["k"], "v"), "w"), ["k"], [1, 50, 100], bits).collect()}
+        got = {(r.k, r.percent): r for r in hotkeys.keyed_quantiles(materialise(hotkeys.weighted(df, ["k"], "v"), "w"), ["k"], [1, 50, 75, 100], bits).collect()}
         for g, vs in groups.items():
             vs = sorted(vs)
-            for p in (1, 50, 100):
+            for p in (1, 50, 75, 100):
                 r = got[(g, p)]
                 assert (r.n_values, r.value) == (len(vs), vs[max(1, -(-len(vs) * p // 100)) - 1])
         assert got[("one", 50)].n == 2 and got[("none", 50)].value is None and got[("none", 50)].n == 1
@@ -33,6 +33,15 @@ def test_heavy_keys(spark):
     assert hotkeys.heavy_keys(df.limit(0), {"a": 0.4}).count() == 0
 
 
+def test_heavy_keys_of_many(spark):
+    """Among thousands of keys those at the limit and above are found, also where an identifier has several keys."""
+    rows = [("a", f"k{k}", f"{k}-{i}") for k, n in enumerate([400, 300, 200, 101, 100, 99, *[1] * 800]) for i in range(n)]
+    df = spark.createDataFrame(rows, "key_kind string, key_value string, ident string")
+    assert {r.key_value for r in hotkeys.heavy_keys(df, {"a": 0.05}).collect()} == {"k0", "k1", "k2", "k3", "k4"}
+    double = df.withColumn("key_value", F.concat(F.lit("z"), "ident")).unionByName(df)
+    assert {(r.key_value, r.n, r.total) for r in hotkeys.heavy_keys(double, {"a": 0.1}).collect()} == {("k0", 400, 2000), ("k1", 300, 2000), ("k2", 200, 2000)}
+
+
 def test_distinct_reads(spark):
     df = spark.createDataFrame([("r1", "k"), ("r1", "k"), ("r2", None), ("r3", None), (None, "k")], "q string, k string")
     assert {r.k: r.n_reads for r in hotkeys.distinct_reads(df, "q", ["k"]).collect()} == {"k": 1, None: 2}
