@@ -3,12 +3,13 @@
 Tagged-union inference.  Each file gives a schema: fields, each with the header it came
 under and the type of its values.  Schemas are fused per series while every alternative
 type of a field is kept; where files disagree, values are split into typed branches
-(``integer``, ``decimal``, ``date``, ``text``) beside one canonical text.
+(``integer``, ``decimal``, ``date``, ``text``) beside a canonical form in the fused type.  No cell with a value is lost.
 
 A column under an unlisted header may continue a field of earlier files; whether it does
 depends on how columns of earlier files were resolved.  That is solved for all series at
 once by repeating the resolution until it no longer changes.  The dependency follows the
-order of files, so the fixed point is unique, and round *i* has settled the first *i* files.
+order of files, so the fixed point is unique, and round *i* has settled the first *i* files; a series that
+a round leaves as it was is settled and takes no part in the next.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def term_fields(terms: DataFrame) -> DataFrame:
 
 
 def columns_and_cells(parsed: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The files' columns ``series_id, ord, file_id, pos, hdr, listed`` and cells ``file_id, line_no, pos, value``, both without columns that have no header."""
+    """The files' columns ``series_id, ord, file_id, pos, hdr, listed``, those without a header left out, and all cells ``file_id, line_no, pos, value``."""
     top = parsed.groupBy("series_id", "ord", "file_id").agg(F.min("line_no").alias("top_no"), F.min_by("cells", "line_no").alias("top"))
     heads = top.select("series_id", "ord", "file_id", "top_no", F.posexplode("top").alias("pos", "name")).withColumn("hdr", normalised(F.coalesce("name", F.lit(""))))
     heads = heads.join(F.broadcast(fields), "hdr", "left")  # the list of known headers is fixed
@@ -104,23 +105,31 @@ def resolved(columns: DataFrame, values: DataFrame, share: float = 0.9) -> DataF
     open_cols = cols.where("listed IS NULL")
     sizes = loose.groupBy("file_id", "hdr").agg(F.count(F.lit(1)).alias("total"))
     taken = cols.where("listed IS NOT NULL").select("file_id", F.col("listed").alias("field_name")).distinct()
-    found = open_cols.select("file_id", "hdr", F.lit(None).cast("string").alias("field_name")).where("false")
-    state, rounds = materialise(found, "resolved"), 0
+    what = ["series_id", "file_id", "hdr", "field_name"]
+    state = materialise(open_cols.select("series_id", "file_id", "hdr", F.lit(None).cast("string").alias("field_name")).where("false"), "resolved")
+    at_work, settled, used = loose, [], [vals, fixed, loose, state]
     while True:
-        more = loose.join(state, ["file_id", "hdr"]).groupBy("series_id", "field_name", "value").agg(F.min("ord").alias("since"))
+        more = at_work.join(state.drop("series_id"), ["file_id", "hdr"]).groupBy("series_id", "field_name", "value").agg(F.min("ord").alias("since"))
         since = fixed.unionByName(more).groupBy("series_id", "field_name", "value").agg(F.min("since").alias("since"))
-        hits = loose.join(since, ["series_id", "value"]).where("since < ord").groupBy("file_id", "hdr", "field_name").agg(F.count(F.lit(1)).alias("hits"))
+        hits = at_work.join(since, ["series_id", "value"]).where("since < ord").groupBy("series_id", "file_id", "hdr", "field_name").agg(F.count(F.lit(1)).alias("hits"))
         hits = hits.join(sizes, ["file_id", "hdr"]).where(F.col("hits") >= F.col("total") * F.lit(share)).join(taken, ["file_id", "field_name"], "left_anti").join(open_cols.select("file_id", "hdr", "pos"), ["file_id", "hdr"])
         best = hits.withColumn("_r", F.row_number().over(W.partitionBy("file_id", "hdr").orderBy(F.desc("hits"), "field_name"))).where("_r = 1")
         best = best.withColumn("_r", F.row_number().over(W.partitionBy("file_id", "field_name").orderBy(F.desc(F.col("hits") / F.col("total")), "pos", "hdr"))).where("_r = 1")
-        new = materialise(best.select("file_id", "hdr", "field_name"), "resolved")
-        same = new.exceptAll(state).isEmpty() and state.exceptAll(new).isEmpty()
-        release(state)
-        state, rounds = new, rounds + 1
-        if same:
+        new = materialise(best.select(what), "resolved")
+        both = new.withColumn("_n", F.lit(1)).unionByName(state.withColumn("_n", F.lit(-1))).groupBy(*what).agg(F.sum("_n").alias("_n"))
+        moved = materialise(both.where("_n != 0").select("series_id").distinct(), "moved")
+        used += [new, moved]
+        if moved.isEmpty():
+            settled.append(new)
             break
-    release(vals, fixed, loose)
-    return cols.join(state, ["file_id", "hdr"], "left").withColumn("field_name", F.coalesce("listed", "field_name", "hdr"))
+        settled.append(new.join(moved, "series_id", "left_anti"))
+        state, at_work = new.join(moved, "series_id", "left_semi"), loose.join(moved, "series_id", "left_semi")
+    found = settled[0]
+    for more in settled[1:]:
+        found = found.unionByName(more)
+    found = materialise(found.drop("series_id"), "resolved")
+    release(*used)
+    return cols.join(found, ["file_id", "hdr"], "left").withColumn("field_name", F.coalesce("listed", "field_name", "hdr"))
 
 
 def type_of(value: Column) -> Column:
@@ -135,21 +144,21 @@ def drift(files: DataFrame, lines: DataFrame, terms: DataFrame) -> dict[str, Dat
     """Everything that is known of the files' columns.
 
     ``columns``: file_id, series_id, ord, pos, hdr, field_name.
-    ``cells``: file_id, line_no, field_name, hdr, value (null where missing), kind (its narrowest type).
+    ``cells``: file_id, series_id, line_no, pos, field_name, hdr (both null in a cell without a header), value (null where missing), kind (its narrowest type).
     ``schemas``: series_id, ord, file_id, field_name, hdr, type (null for a column without values), and the number of values of each type.
     ``changes``: file_id, series_id, ord, field_name, change_kind, before, after.
 
     Empty tables give empty results; extra columns of the inputs are ignored; a file without lines
-    has no fields.  Cells beyond the header and columns without a header are left out.  Of columns
-    whose headers are equal after normalising, the values belong to one column.
+    has no fields.  Cells beyond the header and columns without a header belong to no field and no schema.  Of
+    columns whose headers are equal after normalising, the values belong to one column.
     """
     order = materialise(ordered_files(files), "files")
     parsed = materialise(parsed_lines(order, lines), "lines")
     columns, cells = columns_and_cells(parsed, term_fields(terms))
     columns = materialise(columns, "heads")
-    known = cells.join(columns.select("file_id", "pos", "hdr", "series_id", "ord"), ["file_id", "pos"])
+    known = cells.join(order.select("file_id", "series_id", "ord"), "file_id").join(columns.select("file_id", "pos", "hdr"), ["file_id", "pos"], "left")
     known = materialise(known.withColumn("value", F.when(~F.coalesce("value", F.lit("")).isin(*MISSING), F.col("value"))).withColumn("kind", type_of(F.col("value"))), "cells")
-    counts = known.where("value IS NOT NULL").groupBy("series_id", "ord", "file_id", "hdr", "value")
+    counts = known.where("value IS NOT NULL AND hdr IS NOT NULL").groupBy("series_id", "ord", "file_id", "hdr", "value")
     fields = materialise(resolved(columns, counts.agg(F.lit(1).alias("_one")).drop("_one")), "fields")
     tally = known.groupBy("file_id", "hdr").agg(*[F.count(F.when(F.col("kind") == t, 1)).alias(f"n_{t}") for t in TYPES if t != "text"], F.count("value").alias("n_values"))
     per_field = fields.join(tally, ["file_id", "hdr"], "left").groupBy("series_id", "ord", "file_id", "field_name").agg(
@@ -158,7 +167,7 @@ def drift(files: DataFrame, lines: DataFrame, terms: DataFrame) -> dict[str, Dat
     least = F.col("n_values") * 9
     kind = F.when(F.col("n_values") == 0, None).when(F.col("n_integer") * 10 >= least, "integer").when((F.col("n_integer") + F.col("n_decimal")) * 10 >= least, "decimal").when(F.col("n_date") * 10 >= least, "date").otherwise("text")
     schemas = materialise(per_field.withColumn("type", kind), "schemas")
-    return {"columns": fields, "cells": known.join(fields.select("file_id", "hdr", "field_name"), ["file_id", "hdr"]), "schemas": schemas, "changes": changes(order, schemas), "parsed": parsed}
+    return {"columns": fields, "cells": known.join(fields.select("file_id", "hdr", "field_name"), ["file_id", "hdr"], "left"), "schemas": schemas, "changes": changes(order, schemas), "parsed": parsed}
 
 
 def changes(files: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -179,26 +188,66 @@ def changes(files: DataFrame, schemas: DataFrame) -> DataFrame:
     return both.select("file_id", "series_id", "ord", "field_name", F.inline(kinds))
 
 
+def fused(kinds: Column) -> Column:
+    """The narrowest type that holds all of an array of types."""
+    have = lambda t: F.array_contains(kinds, t)
+    one = F.size(kinds) == 1
+    return F.when(one & have("date"), "date").when(one & have("integer"), "integer").when(~have("text") & ~have("date"), "decimal").otherwise("text")
+
+
 def alternatives(schemas: DataFrame) -> DataFrame:
-    """The fused schema: per series and field each type, since which file it appears, and in how many files."""
+    """The fused schema: per series and field each type, since which file it appears, in how many files, and the type that holds all."""
     seen = schemas.where("type IS NOT NULL").groupBy("series_id", "field_name", "type").agg(F.min("ord").alias("since_ord"), F.min_by("file_id", "ord").alias("since_file"), F.count(F.lit(1)).alias("n_files"))
-    return seen.withColumn("n_alternatives", F.count(F.lit(1)).over(W.partitionBy("series_id", "field_name")))
+    w = W.partitionBy("series_id", "field_name")  # at most four types
+    return seen.withColumn("n_alternatives", F.count(F.lit(1)).over(w)).withColumn("fused_type", fused(F.collect_set("type").over(w)))
+
+
+#: What is exact as a decimal branch; other numbers stay text.
+_EXACT = r"^[+-]?[0-9]{0,20}(\.[0-9]{0,18})?$"
+
+
+def _branches(value: Column, kind: Column) -> Column:
+    """``{integer, decimal, date, text}`` of which one is set: by the value's own form, or text where that can't hold it exactly."""
+    i = F.when(kind == "integer", value.try_cast("long"))
+    d = F.when((kind == "decimal") & value.rlike(_EXACT), value.try_cast("decimal(38,18)"))
+    t = F.when(kind == "date", value.try_cast("date"))
+    return F.struct(i.alias("integer"), d.alias("decimal"), t.alias("date"), F.when(i.isNull() & d.isNull() & t.isNull(), value).alias("text"))
+
+
+def _canonical(value: Column, kind: Column) -> Column:
+    """The value in the form of a type: numbers without sign +, leading zeros and trailing zeros of a fraction; null where it is none of that type."""
+    sign = F.when(F.startswith(value, F.lit("-")), "-").otherwise("")
+    bare = F.regexp_replace(value, "^[+-]", "")
+    whole = F.regexp_replace(F.regexp_replace(bare, r"\..*$", ""), "^0+(?=[0-9])", "")
+    part = F.when(F.contains(bare, F.lit(".")), F.regexp_replace(F.regexp_replace(bare, r"^[^.]*\.", ""), "0+$", "")).otherwise("")
+    number = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part != "", F.concat(F.lit("."), part)).otherwise(""))
+    number = F.when(number == "0", number).otherwise(F.concat(sign, number))
+    is_number = value.rlike(_PATTERNS["decimal"])
+    return F.when(kind == "text", value).when((kind == "date") & value.rlike(_PATTERNS["date"]), value).when((kind == "integer") & value.rlike(_PATTERNS["integer"]), number).when((kind == "decimal") & is_number, number)
 
 
-def unified(cells: DataFrame, listed: list[str]) -> DataFrame:
-    """One row per file and line: each listed field's text, its typed branches, and the other fields as a map.
+def unified(cells: DataFrame, schemas: DataFrame, listed: list[str]) -> DataFrame:
+    """One row per file and line: each listed field's text, its typed branches and canonical form, and all other values as a map.
 
-    The branches are structs ``{integer, decimal, date, text}`` of which at most one is set,
-    by the value's own form; the text column is the canonical conversion.  Of two columns of one
-    field in a file the value under the alphabetically first header is taken.
+    The branches are structs ``{integer, decimal, date, text}`` of which one is set; the canonical
+    form is that of the type which the field's files of the series have in common, null where the value is
+    none.  Of several columns of one field in a line the leftmost value is the field's; the others,
+    and cells without a header, are in the map ``extras`` under ``header#column``, columns counted from 1.
     """
+    types = alternatives(schemas).select("series_id", "field_name", "fused_type").distinct()
     v = F.col("value")
-    branch = F.struct(*[F.when(F.col("kind") == t, v.try_cast(s)).alias(t) for t, s in zip(TYPES, ("long", "decimal(38,9)", "date", "string"))])
-    one = cells.where("value IS NOT NULL").groupBy("file_id", "line_no", "field_name").agg(F.min_by(F.struct(v.alias("value"), branch.alias("branch")), "hdr").alias("cell"))
-    is_listed = F.col("field_name").isin(*listed)
-    wide = one.groupBy("file_id", "line_no").agg(
-        *[F.max(F.when(F.col("field_name") == f, F.col("cell.value"))).alias(f) for f in listed],
-        *[F.max(F.when(F.col("field_name") == f, F.col("cell.branch"))).alias(f"{f}_typed") for f in listed],
-        F.map_from_entries(F.sort_array(F.collect_list(F.when(~is_listed, F.struct("field_name", F.col("cell.value")))))).alias("extras"),
+    rows = cells.where("value IS NOT NULL").join(types, ["series_id", "field_name"], "left")
+    w = W.partitionBy("file_id", "line_no", "field_name").orderBy("pos", "hdr")  # the columns of one field in one line
+    ranked = rows.withColumn("_r", F.row_number().over(w))
+    first = F.col("field_name").isNotNull() & (F.col("_r") == 1)
+    name = F.when(first, F.col("field_name")).otherwise(F.concat(F.coalesce("hdr", F.lit("")), F.lit("#"), (F.col("pos") + 1).cast("string")))
+    is_field = first & F.col("field_name").isin(*listed)
+    kind = F.coalesce("fused_type", F.lit("text"))
+    one = ranked.select("file_id", "line_no", name.alias("name"), is_field.alias("is_field"), v.alias("value"), F.when(is_field, _branches(v, F.col("kind"))).alias("branch"), F.when(is_field, _canonical(v, kind)).alias("canonical"))
+    of = lambda c, f: F.max(F.when(F.col("is_field") & (F.col("name") == f), F.col(c)))
+    return one.groupBy("file_id", "line_no").agg(
+        *[of("value", f).alias(f) for f in listed],
+        *[of("branch", f).alias(f"{f}_typed") for f in listed],
+        *[of("canonical", f).alias(f"{f}_canonical") for f in listed],
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(~F.col("is_field"), F.struct("name", "value"))))).alias("extras"),
     )
-    return wide

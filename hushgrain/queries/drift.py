@@ -21,7 +21,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_wells(spark: SparkSession, d: str) -> DataFrame:
     """All lines of all sheets in one table."""
-    return drift.unified(_drift(spark, d)["cells"], FIELDS)
+    x = _drift(spark, d)
+    return drift.unified(x["cells"], x["schemas"], FIELDS)
 
 
 def p3_alternatives(spark: SparkSession, d: str) -> DataFrame:

@@ -105,11 +105,31 @@ def test_small_cases(spark):
     d = run(spark, files, lines)
     got = {(r.file_id, r.field_name, r.change_kind) for r in d["changes"].collect()}
     assert got == {(2, "sample_name", "renamed"), (2, "note", "removed"), (2, "plate_id", "added"), (3, "sample_name", "removed"), (3, "who", "added"), (3, "plate_id", "type_changed")}
-    wide = {(r.file_id, r.line_no): r for r in drift.unified(d["cells"], ["sample_name", "plate_id", "note"]).collect()}
+    wide = {(r.file_id, r.line_no): r for r in drift.unified(d["cells"], d["schemas"], ["sample_name", "plate_id", "note"]).collect()}
     assert wide[(1, 2)].note == "x, y" and wide[(2, 2)].sample_name == "a" and wide[(2, 2)].plate_id_typed.integer == 1
-    assert wide[(3, 2)].extras == {"who": "a"}
+    assert wide[(3, 2)].extras == {"who": "a"} and wide[(3, 2)].plate_id == "1.5" and wide[(3, 3)].extras == {"who": "b", "#4": "stray"}
+    assert wide[(3, 3)].plate_id == "zz" and wide[(2, 2)].plate_id_canonical == "1"
+
+
+def test_no_value_is_lost(spark):
+    """Two columns of one field, cells without header and beyond it, numbers that a branch can't hold exactly: all are in the table."""
+    files = [(1, "s", "2031-01-01"), (2, "s", "2031-01-02")]
+    lines = [(1, 1, "Sample_Name,,plate,plate"), (1, 2, "a,loose,+007,8,beyond"), (1, 3, "b,,,9"), (2, 1, "Sample_Name,plate"), (2, 2, "c,1.50"), (2, 3, "d,0.1234567890123456789"), (2, 4, "e,123456789012345678901234567890")]
+    d = run(spark, files, lines)
+    wide = {(r.file_id, r.line_no): r for r in drift.unified(d["cells"], d["schemas"], ["sample_name", "plate_id"]).collect()}
+    a = wide[(1, 2)]
+    assert (a.sample_name, a.plate_id, a.plate_id_typed.integer, a.plate_id_canonical) == ("a", "+007", 7, "7")
+    assert a.extras == {"#2": "loose", "plate#4": "8", "#5": "beyond"}
+    assert wide[(1, 3)].plate_id == "9" and wide[(1, 3)].extras == {}
+    assert wide[(2, 2)].plate_id_canonical == "1.5" and str(wide[(2, 2)].plate_id_typed.decimal) == "1.500000000000000000"
+    assert wide[(2, 3)].plate_id_typed.text == "0.1234567890123456789" == wide[(2, 3)].plate_id_canonical and wide[(2, 3)].plate_id_typed.decimal is None
+    assert wide[(2, 4)].plate_id_typed.text == "123456789012345678901234567890"
+    alt = {(r.field_name, r.type): r.fused_type for r in drift.alternatives(d["schemas"]).collect()}
+    assert alt == {("sample_name", "text"): "text", ("plate_id", "integer"): "decimal", ("plate_id", "decimal"): "decimal"}
+    total = sum(len([c for c in raw.split(",") if c]) for _, no, raw in lines if no > 1)
+    assert sum(sum(x is not None for x in (r.sample_name, r.plate_id)) + len(r.extras) for r in wide.values()) == total
 
 
 def test_empty(spark):
     d = run(spark, [], [])
-    assert d["changes"].count() == 0 and drift.alternatives(d["schemas"]).count() == 0 and drift.unified(d["cells"], ["note"]).count() == 0
+    assert d["changes"].count() == 0 and drift.alternatives(d["schemas"]).count() == 0 and drift.unified(d["cells"], d["schemas"], ["note"]).count() == 0
