@@ -1,6 +1,6 @@
 """Where reference data come from: explicit paths, addresses, caches.
 
-No query needs this.  Downloads go through :func:`download`, which needs a network.
+What is published where is in :mod:`hushgrain.sources.fetch`.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ def choose(explicit: str | list[str] | None, *, version: str | None = None, by_v
     return fetch()
 
 
-def choose_sites(explicit: str | None, db: str | None, fetchers: dict) -> list[str]:
-    """Site lists: the explicit one, else of one database or ``both``."""
+def choose_sites(explicit: str | list[str] | None, db: str | None, fetchers: dict) -> list[str]:
+    """Site lists: the explicit ones, else of one database or ``both``."""
     if explicit:
-        return [explicit]
+        return [explicit] if isinstance(explicit, str) else list(explicit)
     return [fetchers[n]() for n in (list(fetchers) if db == "both" else [db] if db in fetchers else [])]
 
 
@@ -91,10 +91,15 @@ def latest_version(first: int, last: int, url: str, status=probe) -> int | None:
     return None
 
 
-def cache_key(paths: list[str], *settings: str) -> str:
-    """Changes with any file's size, time or first 64 KB, and with any setting."""
+def cache_key(paths: list[str], *settings: str, spark=None) -> str:
+    """Changes with any file's size, time or first 64 KB, and with any setting.  Of files on a shared store (with ``spark``) size and time."""
     h = hashlib.md5()
     for p in paths:
+        if spark is not None and "://" in p:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            st = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+            h.update(f"{p}:{st.getModificationTime()}:{st.getLen()}".encode())
+            continue
         st = os.stat(p)
         with open(p, "rb") as f:
             h.update(f"{p}:{st.st_mtime_ns}:{st.st_size}".encode() + f.read(1 << 16))
@@ -103,16 +108,19 @@ def cache_key(paths: list[str], *settings: str) -> str:
 
 
 def cached(spark, folder: str, key: str, build, no_cache: bool = False):
-    """Tables ``{name: DataFrame}`` kept as Parquet under ``folder/key``; built and written if not there."""
-    base = os.path.join(folder, key)
-    done = os.path.join(base, "_COMPLETE")
-    if no_cache or not os.path.exists(done):
+    """Tables ``{name: DataFrame}`` kept as Parquet under ``folder/key``; built and written if not there.
+
+    The list of names is written last, through the tables' own file system, so that what an
+    interrupted run left is built anew.
+    """
+    if no_cache:
+        return build()
+    base = f"{folder.rstrip('/')}/{key}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/complete/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         built = build()
-        if no_cache:
-            return built
         for name, df in built.items():
-            df.write.mode("overwrite").parquet(os.path.join(base, name))
-        with open(done, "w") as f:
-            f.write("\n".join(built))
-    with open(done) as f:
-        return {name: spark.read.parquet(os.path.join(base, name)) for name in f.read().split()}
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
+        spark.createDataFrame([(name,) for name in built], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/complete")
+    names = [r.value for r in spark.read.text(f"{base}/complete").collect()]
+    return {name: spark.read.parquet(f"{base}/{name}") for name in names}
