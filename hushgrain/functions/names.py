@@ -16,6 +16,17 @@ def umi(c: Column) -> Column:
     return F.when(c != "", F.upper(c))
 
 
+# Fixed value: the contigs by whose names a style is told.
+PRIMARY = frozenset([*map(str, range(1, 23)), "X", "Y", "MT"])
+
+
+def style(contigs) -> str:
+    """``ucsc`` or ``ensembl`` by the majority of the main contigs, ``unknown`` for a tie or none."""
+    ucsc = sum(c.startswith("chr") and (c[3:] in PRIMARY or c == "chrM") for c in contigs)
+    other = sum(c in PRIMARY for c in contigs)
+    return "ucsc" if ucsc > other else "ensembl" if other > ucsc else "unknown"
+
+
 def contig_names(contigs: DataFrame) -> DataFrame:
     """``(name_key, canonical)``: each contig's names in either style, in upper case.
 

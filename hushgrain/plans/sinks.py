@@ -19,6 +19,8 @@ from hushgrain import constants as C
 # The scalars of the metrics table, in order.
 READ_METRICS = ("n_reads_total", "n_reads_classified", "n_reads_unassigned", "n_cells", "noise_read_frac", "noise_base_frac", "strand_concordance", "chimeric_read_frac", "multimapper_read_frac", "n_tso", "n_polya", "n_noncanon", "per_cell_noise_median", "per_cell_noise_iqr")
 SUMMARY = ("noise_read_frac", "noise_base_frac", "noise_read_frac_strict", "noise_base_frac_strict", "strand_concordance", "chimeric_read_frac", "multimapper_read_frac", "n_cells", "n_reads_classified", "per_cell_noise_median", "per_cell_noise_iqr")
+# Names in the written tables that differ from the columns'.
+WRITTEN = {"n_tso": "n_tso_invasion", "n_polya": "n_polya_priming", "n_noncanon": "n_noncanon_junction", "start_pos": "start", "end_pos": "end"}
 LOCI = ("contig", "start_pos", "end_pos", "strand", "n_reads", "n_barcodes", "has_splice_evidence", "is_monoexonic", "polya_run_downstream", "near_polya_site", "poisson_pvalue_adj", "category")
 
 
@@ -35,7 +37,9 @@ def read_metrics(sample: DataFrame, keys: list[str]) -> DataFrame:
     """``keys..., metric, value``: scalars as they are, fractions with six digits; strict noise is no part of this table."""
     kinds = dict(sample.dtypes)
     names = [n for n in (*READ_METRICS, "full_length_read_frac", *(f"read_frac_{c}" for c in C.CATEGORY_ORDER), *(f"base_frac_{c}" for c in C.CATEGORY_ORDER)) if n in kinds]
-    return sample.select(*keys, *[shown(n, kinds[n]).alias(n) for n in names]).unpivot(keys, names, "metric", "value")
+    names = [*dict.fromkeys(names)]
+    written = [WRITTEN.get(n, n) for n in names]
+    return sample.select(*keys, *[shown(n, kinds[n]).alias(w) for n, w in zip(names, written)]).unpivot(keys, written, "metric", "value")
 
 
 def summary_json(sample: DataFrame, name: str = "sample_id") -> DataFrame:
@@ -68,7 +72,7 @@ def length_table(strata: DataFrame) -> DataFrame:
 
 
 def loci_table(loci: DataFrame) -> DataFrame:
-    return loci.select(*LOCI)
+    return loci.select(*[F.col(c).alias(WRITTEN.get(c, c)) for c in LOCI])
 
 
 def write_length_samples(reads: DataFrame, path: str) -> None:
@@ -76,17 +80,29 @@ def write_length_samples(reads: DataFrame, path: str) -> None:
     reads.select("category", "read_length").write.mode("overwrite").partitionBy("category").csv(path, sep="\t", header=True)
 
 
+def _first(df: DataFrame, most: int) -> tuple[list, str]:
+    """Up to ``most`` rows, and a note where there are more."""
+    rows = df.limit(most + 1).collect()
+    return rows[:most], f"<p>The first {most:,} of {df.count():,} rows; the tables beside this page have all.</p>" if len(rows) > most else ""
+
+
 def table_html(df: DataFrame, most: int = 500) -> str:
-    """A bounded table as HTML."""
-    rows = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else f'{v:.4g}' if isinstance(v, float) and not math.isnan(v) else str(v))}</td>" for v in r) + "</tr>" for r in df.limit(most).collect())
-    return "<table><tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in df.columns) + f"</tr>{rows}</table>"
+    """A table as HTML; of a long one the first rows and a note that says so."""
+    got, note = _first(df, most)
+    rows = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else f'{v:.4g}' if isinstance(v, float) and not math.isnan(v) else str(v))}</td>" for v in r) + "</tr>" for r in got)
+    return "<table><tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in df.columns) + f"</tr>{rows}</table>{note}"
 
 
-def bars_html(df: DataFrame, label: str, value: str) -> str:
+def bars_html(df: DataFrame, label: str, value: str, most: int = 200) -> str:
     """A bar per row, in plain HTML."""
-    rows = df.select(label, value).limit(100).collect()
-    top = max((r[value] or 0 for r in rows), default=0) or 1
-    return "".join(f'<div class="bar"><span>{html.escape(str(r[label]))}</span><i style="width:{100 * (r[value] or 0) / top:.1f}%"></i><b>{(r[value] or 0):.4f}</b></div>' for r in rows)
+    rows, note = _first(df.select(label, value), most)
+    top = max((abs(r[value] or 0) for r in rows), default=0) or 1
+    return "".join(f'<div class="bar"><span>{html.escape(str(r[label]))}</span><i style="width:{100 * abs(r[value] or 0) / top:.1f}%"></i><b>{(r[value] or 0):.4f}</b></div>' for r in rows) + note
+
+
+def pairs_html(rows: list[tuple[str, str]]) -> str:
+    """Names and values in two columns."""
+    return "<table>" + "".join(f"<tr><th>{html.escape(k)}</th><td>{html.escape(v)}</td></tr>" for k, v in rows) + "</table>"
 
 
 _STYLE = "body{font-family:sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:2px 8px}.bar span{display:inline-block;width:14em}.bar i{display:inline-block;height:.8em;background:#47a;max-width:50%}.bar b{font-weight:normal;margin-left:.5em}"

@@ -18,7 +18,7 @@ from hushgrain.queries import metrics as Q
 from hushgrain.queries.common import table
 from hushgrain.sources import bam, headers, resolve, sheets, text
 from hushgrain.standins import duck, view
-from hushgrain.storage import shared_dir
+from hushgrain.storage import application_dir
 
 QUERIES, SQL = {}, {}
 
@@ -241,7 +241,8 @@ def discover_bams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark).removeprefix('file://')}/hushgrain/{name}-{uuid.uuid4().hex}"
+    """A new folder of this application, deleted with it."""
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("scan_bam", duck("reads") + " SELECT read_id AS qname, flag, contig, pos, cigar, seq, cb, umi, nh, sa, strand, next_contig, CAST(tlen AS BIGINT) AS tlen FROM reads")
@@ -261,8 +262,8 @@ SQL["scan_bam"] = SQL["scan_bam"].replace(" seq, cb", " upper(seq) AS seq, cb")
 def gzip_open(spark: SparkSession, d: str) -> DataFrame:
     """A site list from gzipped text."""
     folder = _folder(spark, "gz")
-    _tabbed(view(spark, d, "sites"), F.col("contig"), F.col("pos"), F.col("pos") + 1).write.text("file://" + folder, compression="gzip")
-    return text.parse_sites(text.lines(spark, "file://" + folder))
+    _tabbed(view(spark, d, "sites"), F.col("contig"), F.col("pos"), F.col("pos") + 1).write.text(folder, compression="gzip")
+    return text.parse_sites(text.lines(spark, folder))
 
 
 def _cached(name: str, part: str, build, sql: str) -> None:

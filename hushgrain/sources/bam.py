@@ -1,22 +1,27 @@
 """Binary alignment files as a Spark data source: ``spark.read.format("bam").load(path)``.
 
 A file with a ``.bai`` index is read as one partition per contig and run of blocks; one
-without is one partition.  The option ``fields`` names the columns wanted; sequences are only
-decoded if asked for.  Options: ``fields``, ``barcode_tag`` (CB), ``umi_tag`` (UB).
+without is one partition.  The path is a file, a folder, a pattern, or with the option ``paths`` a JSON list of
+files; ``file:`` and any store that Arrow's file systems reach (``hdfs:``, ``s3:``, ``gs:``).  The option ``fields``
+names the columns wanted; sequences are only decoded if asked for.  Options: ``fields``, ``barcode_tag`` (CB), ``umi_tag`` (UB).
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
+import io
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -32,11 +37,38 @@ _SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 _CODES = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 
 
+#: Files whose headers and indexes the driver reads at a time.
+PLANNERS = 32
+
+
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path within it."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return (fs.LocalFileSystem(), path) if "://" not in path else fs.FileSystem.from_uri(path)
+
+
+def found(path: str) -> list[str]:
+    """The alignment files of a folder or pattern, or the file itself."""
+    at, inner = store(path)
+    prefix = path[: len(path) - len(inner)] if "://" in path else ""
+    info = at.get_file_info(inner)
+    if info.type == fs.FileType.File:
+        return [path]
+    if info.type == fs.FileType.Directory:
+        folder, pattern = inner, "*.bam"
+    else:
+        folder, _, pattern = inner.rpartition("/")
+    rows = at.get_file_info(fs.FileSelector(folder or ".", allow_not_found=True))
+    return sorted(prefix + r.path for r in rows if r.type == fs.FileType.File and fnmatch.fnmatch(r.base_name, pattern))
+
+
 class BlockReader:
     """Bytes of a blocked gzip file from a virtual offset (block offset << 16 | offset within)."""
 
     def __init__(self, path: str, start: int = 0) -> None:
-        self.f = open(path, "rb")
+        at, inner = store(path)
+        self.f = open(inner, "rb") if isinstance(at, fs.LocalFileSystem) else io.BufferedReader(at.open_input_file(inner), 1 << 20)
         self.f.seek(start >> 16)
         self.at, self.block, self.i = start >> 16, b"", 0
         self._next()
@@ -112,8 +144,10 @@ def _tags(data: bytes, i: int, wanted: set[str]) -> dict:
             end = data.index(0, i)
             value, i = data[i:end].decode(), end + 1
         elif kind == "B":
-            n = struct.unpack("<i", data[i + 1 : i + 5])[0]
-            value, i = None, i + 5 + n * _SIZES[chr(data[i])]
+            n, item = struct.unpack("<i", data[i + 1 : i + 5])[0], chr(data[i])
+            size = n * _SIZES[item]
+            # of arrays only long lists of operations are wanted
+            value, i = struct.unpack(f"<{n}{_CODES[item][1]}", data[i + 5 : i + 5 + size]) if tag in wanted else None, i + 5 + size
         elif kind == "A":
             value, i = chr(data[i]), i + 1
         else:
@@ -136,6 +170,8 @@ def parse_record(data: bytes, names: list[str], with_seq: bool, cb: str, umi: st
     i += (n_seq + 1) // 2 + n_seq
     t = _tags(data, i, {cb, umi, "NH", "SA", "CG"})
     contig = names[ref] if ref >= 0 else None
+    if t.get("CG") and n_ops and ops[0] == (n_seq << 4 | 4):
+        ops = t["CG"]  # more operations than the record's own field can count; that one holds a clip of the whole read
     cigar = "".join(f"{o >> 4}{_OPS[o & 15]}" for o in ops) or "*"
     return qname, flag, contig, pos, mapq, cigar, names[next_ref] if next_ref >= 0 else None, next_pos, tlen, seq, t.get(cb), t.get(umi), t.get("NH"), t.get("SA"), "-" if flag & 16 else "+"
 
@@ -159,25 +195,43 @@ class BamPartition(InputPartition):
         self.path, self.start, self.stop = path, start, stop
 
 
-def index_starts(path: str) -> list[int] | None:
-    """Virtual offsets at which records start, from the index's linear part; null without an index."""
-    at = next((p for p in (path + ".bai", os.path.splitext(path)[0] + ".bai") if os.path.exists(p)), None)
-    if at is None:
+def _index(path: str) -> bytes | None:
+    for p in (path + ".bai", os.path.splitext(path)[0] + ".bai"):
+        at, inner = store(p)
+        if at.get_file_info(inner).type == fs.FileType.File:
+            with at.open_input_file(inner) as f:
+                data = f.read()
+            if data[:4] != b"BAI\x01":
+                raise ValueError(f"not an index: {p}")
+            return data
+    return None
+
+
+def read_index(path: str) -> tuple[list[int], tuple[int, int]] | None:
+    """Virtual offsets at which records start, from the index's linear part, and the mapped and unmapped reads; null without an index."""
+    data = _index(path)
+    if data is None:
         return None
-    with open(at, "rb") as f:
-        data = f.read()
-    if data[:4] != b"BAI\x01":
-        raise ValueError(f"not an index: {at}")
-    n_ref, i, starts = struct.unpack("<i", data[4:8])[0], 8, set()
+    n_ref, i, starts, mapped, unmapped = struct.unpack("<i", data[4:8])[0], 8, set(), 0, 0
     for _ in range(n_ref):
         n_bin, i = struct.unpack("<i", data[i : i + 4])[0], i + 4
         for _ in range(n_bin):
-            n_chunk = struct.unpack("<i", data[i + 4 : i + 8])[0]
+            number, n_chunk = struct.unpack("<Ii", data[i : i + 8])
+            if number == 37450 and n_chunk == 2:  # fixed value: the bin that holds counts
+                m, u = struct.unpack("<QQ", data[i + 24 : i + 40])
+                mapped, unmapped = mapped + m, unmapped + u
             i += 8 + 16 * n_chunk
         n_int, i = struct.unpack("<i", data[i : i + 4])[0], i + 4
         starts.update(x for x in struct.unpack(f"<{n_int}Q", data[i : i + 8 * n_int]) if x)
         i += 8 * n_int
-    return sorted(starts)
+    if i + 8 <= len(data):
+        unmapped += struct.unpack("<Q", data[i : i + 8])[0]
+    return sorted(starts), (mapped, unmapped)
+
+
+def index_starts(path: str) -> list[int] | None:
+    index = read_index(path)
+    return None if index is None else index[0]
 
 
 class BamReader(DataSourceReader):
@@ -185,24 +239,23 @@ class BamReader(DataSourceReader):
         self.cb, self.umi = options.get("barcode_tag", "CB"), options.get("umi_tag", "UB")
         fields = options.get("fields")
         self.with_seq = fields is None or "seq" in fields.replace(" ", "").split(",")
-        path = options["path"]
-        self.paths = sorted(glob.glob(os.path.join(path, "*.bam"))) if os.path.isdir(path) else sorted(glob.glob(path))
+        self.paths = json.loads(options["paths"]) if "paths" in options else found(options["path"])
         if not self.paths:
-            raise FileNotFoundError(path)
+            raise FileNotFoundError(options.get("path", "no paths"))
+
+    def _plan(self, path: str) -> list[BamPartition]:
+        r = BlockReader(path)
+        read_header(r)
+        cuts = [r.offset]
+        r.close()
+        for s in index_starts(path) or []:
+            if (s >> 16) - (cuts[-1] >> 16) >= SPLIT_BYTES:
+                cuts.append(s)
+        return [BamPartition(path, a, b) for a, b in zip(cuts, [*cuts[1:], None])]
 
     def partitions(self) -> list[BamPartition]:
-        out = []
-        for path in self.paths:
-            r = BlockReader(path)
-            read_header(r)
-            first = r.offset
-            r.close()
-            cuts = [first]
-            for s in index_starts(path) or []:
-                if (s >> 16) - (cuts[-1] >> 16) >= SPLIT_BYTES:
-                    cuts.append(s)
-            out += [BamPartition(path, a, b) for a, b in zip(cuts, [*cuts[1:], None])]
-        return out
+        with ThreadPoolExecutor(PLANNERS) as pool:
+            return [p for parts in pool.map(self._plan, self.paths) for p in parts]
 
     def read(self, partition: BamPartition) -> Iterator[pa.RecordBatch]:
         r = BlockReader(partition.path)
@@ -253,6 +306,9 @@ def pack_record(r: dict, places: dict[str, int]) -> bytes:
     packed = bytes.fromhex(re.sub("[^0-9a-e]", "f", seq.upper().translate(_TO_HEX)) + "0" * (len(seq) % 2))
     name = r["qname"].encode() + b"\0"
     tags = b"".join(t + b"Z" + r[c].encode() + b"\0" for t, c in ((b"CB", "cb"), (b"UB", "umi"), (b"SA", "sa")) if r[c] is not None)
+    if len(ops) > 0xFFFF:
+        tags += b"CGBI" + struct.pack(f"<i{len(ops)}I", len(ops), *(n << 4 | _OPS.index(op) for n, op in ops))
+        ops = [(len(seq), "S"), (sum(n for n, op in ops if op in "MDN=X"), "N")]
     if r["nh"] is not None:
         tags += b"NHi" + struct.pack("<i", int(r["nh"]))
     head = struct.pack("<iiBBHHHiiii", places.get(r["contig"], -1), int(r["pos"]), len(name), 255 if r["mapq"] is None else int(r["mapq"]), 0, len(ops), int(r["flag"]), len(seq), places.get(r["next_contig"], -1), -1, int(r["tlen"] or 0))
@@ -266,14 +322,16 @@ _END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 def write_bam(df, folder: str, contigs: list[tuple[str, int]], header: str = "@HD\tVN:1.6\n") -> int:
     """One file per partition of ``df`` in a folder that all executors share; returns the number of records."""
-    os.makedirs(folder, exist_ok=True)
+    at, inner = store(folder)
+    at.create_dir(inner, recursive=True)
     places = {c: i for i, (c, _) in enumerate(contigs)}
     text = header + "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in contigs)
     top = b"BAM\x01" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(contigs)) + b"".join(struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in contigs)
 
     def run(parts):
-        path, n, held = os.path.join(folder, f"part-{uuid.uuid4().hex}.bam"), 0, top
-        with open(path + ".tmp", "wb") as f:
+        to, inner = store(folder)
+        path, n, held = f"{inner.rstrip('/')}/part-{uuid.uuid4().hex}.bam", 0, top
+        with to.open_output_stream(path + ".tmp") as f:
             for part in parts:
                 for r in part.to_pylist():
                     held += pack_record(r, places)
@@ -282,7 +340,7 @@ def write_bam(df, folder: str, contigs: list[tuple[str, int]], header: str = "@H
                         f.write(_block(held[:65_000]))
                         held = held[65_000:]
             f.write((_block(held) if held else b"") + _END)
-        os.replace(path + ".tmp", path)
+        to.move(path + ".tmp", path)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     cols = ["qname", "flag", "contig", "pos", "mapq", "cigar", "next_contig", "tlen", "seq", "cb", "umi", "nh", "sa"]

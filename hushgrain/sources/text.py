@@ -107,7 +107,7 @@ def polyasite_version(name: Column) -> Column:
     return F.regexp_extract(name, r"GENCODE[_.](\d+)", 1).try_cast("int")
 
 
-def parse_sam(df: DataFrame) -> DataFrame:
+def parse_sam(df: DataFrame, barcode_tag: str = "CB", umi_tag: str = "UB") -> DataFrame:
     """Alignments of SAM text with 0-based positions; ``*`` is null, absent tags are null."""
     f = F.split("value", "\t")
 
@@ -122,7 +122,7 @@ def parse_sam(df: DataFrame) -> DataFrame:
     return rows.select(
         F.get(f, F.lit(0)).alias("qname"), flag.alias("flag"), contig.alias("contig"), (F.get(f, F.lit(3)).try_cast("long") - 1).alias("pos"), F.get(f, F.lit(4)).try_cast("int").alias("mapq"), F.get(f, F.lit(5)).alias("cigar"),
         F.when(F.get(f, F.lit(6)) == "=", contig).otherwise(known(6)).alias("next_contig"), (F.get(f, F.lit(7)).try_cast("long") - 1).alias("next_pos"), F.get(f, F.lit(8)).try_cast("long").alias("tlen"), known(9).alias("seq"),
-        tag("CB", "Z").alias("cb"), tag("UB", "Z").alias("umi"), tag("NH", "i").try_cast("int").alias("nh"), tag("SA", "Z").alias("sa"), F.when(flag.bitwiseAND(16) != 0, "-").otherwise("+").alias("strand"),
+        tag(barcode_tag, "Z").alias("cb"), tag(umi_tag, "Z").alias("umi"), tag("NH", "i").try_cast("int").alias("nh"), tag("SA", "Z").alias("sa"), F.when(flag.bitwiseAND(16) != 0, "-").otherwise("+").alias("strand"),
     )
 
 
