@@ -8,6 +8,7 @@ from hushgrain.functions import reads as R
 from hushgrain.operators import annotation as A
 from hushgrain.operators import classify, sequence
 from hushgrain.operators import intervals as I
+from hushgrain.operators import metrics as M
 from hushgrain.queries import reads as Q
 from hushgrain.queries.common import table
 from hushgrain.standins import CHUNK, duck, view
@@ -280,16 +281,38 @@ _promoted("boundary_promotion", "intronic_boundary")
 _promoted("empty_fallback", "ambiguous")
 
 
-@query("no_blocks", "SELECT 'x' AS read_id, 'ambiguous' AS category, 0::BIGINT AS bases")
+@query("no_blocks", "SELECT DISTINCT qname AS read_id, 'ambiguous' AS category, 0::BIGINT AS bases FROM alignments WHERE cigar = '*' AND qname IS NOT NULL")
 def no_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """A read without aligned blocks is ambiguous with no bases."""
-    one = table(spark, d, "region").where("r_regionkey = 0").select(F.lit("x").alias("read_id"), F.lit("chr1").alias("contig"), F.lit(5).cast("long").alias("pos"), F.lit("+").alias("strand"), F.lit("*").alias("cigar"))
-    rows = one.withColumns({"n_blocks": F.size(R.blocks()), "n_junctions": F.size(R.junctions()), "read_length": R.aligned_length()})
-    none = one.select("read_id", F.lit("").alias("category"), F.lit(0).cast("long").alias("bases"), F.lit(0).cast("long").alias("first")).where("false")
+    """Reads without aligned blocks are ambiguous with no bases."""
+    a = table(spark, d, "alignments").where("qname IS NOT NULL")
+    rows = a.select(F.col("qname").alias("read_id"), "pos", "cigar").distinct().withColumns({"n_blocks": F.size(R.blocks()), "n_junctions": F.size(R.junctions()), "read_length": R.aligned_length()}).where("n_blocks = 0")
+    none = rows.select("read_id", F.lit("").alias("category"), F.lit(0).cast("long").alias("bases"), F.lit(0).cast("long").alias("first")).where("false")
     return classify.vote(rows, none).select("read_id", "category", F.col("base_counts")["ambiguous"].alias("bases"))
 
 
-@query("artifact_flags")
+# the flags of the reads that the rules leave undecided, in SQL
+_FLAGGED = (
+    CLASSIFIED_SQL
+    + f""", end_ AS (SELECT read_id, any_value(contig) AS contig, CAST(any_value(pos) + sum(CASE WHEN c IN ('M', 'D', 'N', '=', 'X') THEN n ELSE 0 END) AS BIGINT) AS pos_at FROM rz GROUP BY read_id),
+pa_ AS (SELECT read_id FROM ({Q._fetch_sql('SELECT * FROM end_', C.POLYA_WINDOW)}) f WHERE contains(bases, '{'A' * C.POLYA_RUN}')),
+jx_ AS (SELECT read_id, contig, strand, p AS pos_at FROM rz WHERE c = 'N' AND NOT EXISTS (SELECT 1 FROM ({Q._SPLICE}) s WHERE s.contig = rz.contig AND s.strand = rz.strand AND s.junction = rz.p)),
+nc_ AS (SELECT DISTINCT read_id FROM ({Q._fetch_sql('SELECT * FROM jx_', 2)}) f WHERE NOT (length(bases) < 2 OR {Q._DONOR} IN ('GT', 'GC', 'AT'))),
+ts_ AS (SELECT read_id FROM rest_ WHERE {Q._HIT.format(f'upper(substr(seq, 1, {Q._LEAD}))')} OR {Q._HIT.format(f'upper(right(seq, {Q._TRAIL}))')}),
+flg AS (SELECT c.cell_barcode, t.read_id IS NOT NULL AS tso, p.read_id IS NOT NULL AS polya, n.read_id IS NOT NULL AS noncanon FROM cls c LEFT JOIN ts_ t USING (read_id) LEFT JOIN pa_ p ON p.read_id = c.read_id LEFT JOIN nc_ n ON n.read_id = c.read_id)"""
+)
+_COUNTS = "count(*) FILTER (tso) AS n_tso, count(*) FILTER (polya) AS n_polya, count(*) FILTER (noncanon) AS n_noncanon"
+
+
+@query("artifact_flags", _FLAGGED + f" SELECT cell_barcode, {_COUNTS} FROM flg GROUP BY cell_barcode")
 def artifact_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Artifact flags per cell (checked against their single-read queries in the tests)."""
-    return classified(spark, d, flags=True).groupBy("cell_barcode").agg(F.count_if("is_tso").alias("n_tso"), F.count_if("is_polya").alias("n_polya"), F.count_if("is_noncanon").alias("n_noncanon"))
+    """Artifact flags per cell of all primary reads."""
+    return M.cell_flags(classified(spark, d, flags=True), ["cell_barcode"])
+
+
+QUERIES["cell_artifact_flags"], SQL["cell_artifact_flags"] = artifact_flags, SQL["artifact_flags"]
+
+
+@query("flag_totals", _FLAGGED + f" SELECT {_COUNTS} FROM flg")
+def flag_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Artifact flags of the whole sample."""
+    return artifact_flags(spark, d).agg(*[F.sum(f).alias(f) for f in M.FLAGS])

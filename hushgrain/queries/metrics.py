@@ -154,18 +154,6 @@ def cell_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cells(spark, d))
 
 
-@query("cell_artifact_flags", ONCE + " " + _FLAG_SQL)
-def cell_artifact_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Flags per cell."""
-    return _flags(spark, d)
-
-
-@query("flag_totals", ONCE + f" SELECT sample_id, CAST(sum(n_tso) AS BIGINT) AS n_tso, CAST(sum(n_polya) AS BIGINT) AS n_polya, CAST(sum(n_noncanon) AS BIGINT) AS n_noncanon FROM ({_FLAG_SQL}) f GROUP BY 1")
-def flag_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Flags per library."""
-    return _flags(spark, d).groupBy(*S).agg(*[F.sum(f).alias(f) for f in M.FLAGS])
-
-
 SQL["sample_totals"] = (
     ONCE
     + " SELECT sample_id, category, n_reads, n_bases, round(n_reads / CAST(sum(n_reads) OVER (PARTITION BY sample_id) AS DOUBLE), 9) AS read_frac, round(coalesce(n_bases / nullif(CAST(sum(n_bases) OVER (PARTITION BY sample_id) AS DOUBLE), 0), 0), 9) AS base_frac FROM (SELECT sample_id, category, CAST(sum(n_reads) AS BIGINT) AS n_reads, CAST(sum(n_bases) AS BIGINT) AS n_bases FROM cnt GROUP BY 1, 2) t"

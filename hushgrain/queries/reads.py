@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hushgrain import constants as C
 from hushgrain.functions import reads as R
 from hushgrain.operators import cascade, sequence
+from hushgrain.plans import checks
 from hushgrain.queries.common import table
 from hushgrain.standins import CHUNK, duck, view
 from hushgrain.storage import materialise
@@ -286,11 +287,11 @@ def validate_lengths(spark: SparkSession, d: str) -> DataFrame:
     return sequence.length_differences(c, "contig_length", "other")
 
 
-@query("version_gap_warning", "SELECT a, b, abs(a - b) > 5 AS warns FROM (SELECT n_nationkey + 30 AS a, n_regionkey + 40 AS b FROM nation) v")
+@query("version_gap_warning", "SELECT n_nationkey + 30 AS a, n_regionkey + 40 AS b, abs(n_nationkey + 30 - n_regionkey - 40) > 5 AS warns FROM nation")
 def version_gap_warning(spark: SparkSession, d: str) -> DataFrame:
-    """Whether two versions lie too far apart."""
-    v = table(spark, d, "nation").select((F.col("n_nationkey") + 30).alias("a"), (F.col("n_regionkey") + 40).alias("b"))
-    return v.withColumn("warns", F.coalesce(F.abs(F.col("a") - F.col("b")) > C.VERSION_GAP, F.lit(False)))
+    """Whether a run warns of two releases that lie too far apart."""
+    rows = table(spark, d, "nation").select("n_nationkey", "n_regionkey").collect()  # a pair of releases each
+    return spark.createDataFrame([(r.n_nationkey + 30, r.n_regionkey + 40, bool(checks.version_gap(r.n_nationkey + 30, r.n_regionkey + 40))) for r in rows], "a int, b int, warns boolean")
 
 
 @query("sample_reads_for_tags", "SELECT sample_id, count(*) AS n_sampled, avg(CASE WHEN cb <> '' THEN 1.0 ELSE 0.0 END) AS fraction, avg(CASE WHEN cb <> '' THEN 1.0 ELSE 0.0 END) >= 0.5 AS barcode_aware FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY piece_no, arrived_at, qname, coalesce(cb, '')) AS rn FROM alignments WHERE flag & 2308 = 0) a WHERE rn <= 10000 GROUP BY sample_id")

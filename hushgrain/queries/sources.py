@@ -15,8 +15,9 @@ from hushgrain.operators import metrics as M
 from hushgrain.plans import sinks
 from hushgrain.queries import intervals as IQ
 from hushgrain.queries import metrics as Q
+from hushgrain.queries import results
 from hushgrain.queries.common import table
-from hushgrain.sources import bam, headers, resolve, sheets, text
+from hushgrain.sources import bam, fetch, headers, resolve, sheets, text
 from hushgrain.standins import duck, view
 from hushgrain.storage import application_dir
 
@@ -132,8 +133,10 @@ def version_from_filename(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cache_lookup", "SELECT max(n_nationkey) + 20 AS version FROM nation")
 def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """The highest version among files."""
-    return version_from_filename(spark, d).agg(F.max("gencode").alias("version"))
+    """The cached file of the highest release, of a file for every nation and others beside them."""
+    files = [f"gencode.v{r.n_nationkey + 20}.annotation.gtf.gz" for r in table(spark, d, "nation").select("n_nationkey").collect()]  # the names in a folder
+    best = resolve.newest_name([*files, "gencode.v999.annotation.gtf.gz.tmp", "other.v77.txt"], fetch.GENCODE_NAME)
+    return spark.createDataFrame([(resolve.version_of(best),)], "version int")
 
 
 @query("scan_sam", duck("reads") + " SELECT read_id AS qname, flag, contig, pos, cigar, seq, cb, umi, nh, sa, strand, next_contig, CAST(tlen AS BIGINT) AS tlen FROM reads")
@@ -148,24 +151,39 @@ def scan_sam(spark: SparkSession, d: str) -> DataFrame:
     return text.parse_sam(lines).select("qname", "flag", "contig", "pos", "cigar", "seq", "cb", "umi", "nh", "sa", "strand", "next_contig", "tlen")
 
 
+def _header(spark, d) -> str:
+    """A header with a line for every contig."""
+    rows = table(spark, d, "contigs").select("contig", "contig_length").collect()  # a header's contigs
+    return "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{r.contig}\tLN:{r.contig_length}\n" for r in rows) + "@CO\tSN:none\tLN:1\n"
+
+
 @query("scan_bam_header", "SELECT contig, contig_length FROM contigs")
 def scan_bam_header(spark: SparkSession, d: str) -> DataFrame:
-    """Contigs out of header lines."""
-    lines = table(spark, d, "contigs").select(F.concat(F.lit("@SQ\tSN:"), "contig", F.lit("\tLN:"), F.col("contig_length").cast("string")).alias("value"))
-    return lines.where(F.startswith("value", F.lit("@SQ"))).select(F.regexp_extract("value", "\tSN:([^\t]+)", 1).alias("contig"), F.regexp_extract("value", "\tLN:([0-9]+)", 1).cast("long").alias("contig_length"))
+    """Contigs out of header text."""
+    return spark.createDataFrame(list(headers.inspect(_header(spark, d))["contigs"].items()), "contig string, contig_length bigint")
 
 
 @query("validate_sq", "SELECT count(*) > 0 AS has_contigs FROM contigs")
 def validate_sq(spark: SparkSession, d: str) -> DataFrame:
     """Whether the header names contigs."""
-    return scan_bam_header(spark, d).agg((F.count(F.lit(1)) > 0).alias("has_contigs"))
+    return spark.createDataFrame([("no contigs in the header" not in headers.inspect(_header(spark, d))["issues"],)], "has_contigs boolean")
 
 
-@query("validate_sort", "SELECT r_regionkey, CASE WHEN r_regionkey = 0 THEN 'unsorted' WHEN r_regionkey < 3 THEN 'coordinate' END AS sort_order, r_regionkey = 0 AS is_fatal FROM region")
+@query("validate_sort", "SELECT p_partkey % 4 AS k, count(*) AS n, p_partkey % 4 IN (1, 2) AS is_fatal FROM part GROUP BY 1, 3")
 def validate_sort(spark: SparkSession, d: str) -> DataFrame:
-    """Which sort orders are fatal; a missing one is not."""
-    r = table(spark, d, "region").withColumn("sort_order", F.when(F.col("r_regionkey") == 0, "unsorted").when(F.col("r_regionkey") < 3, "coordinate"))
-    return r.select("r_regionkey", "sort_order", F.coalesce((F.col("sort_order") != "") & (F.col("sort_order") != "coordinate"), F.lit(False)).alias("is_fatal"))
+    """Which of four sort orders are fatal; a missing one is not."""
+    orders = ["coordinate", "unsorted", "queryname", ""]
+
+    def fatal(order: str) -> bool:
+        try:
+            headers.check_order(order)
+        except ValueError:
+            return True
+        return False
+
+    known = spark.createDataFrame([(i, fatal(o)) for i, o in enumerate(orders)], "k int, is_fatal boolean")
+    n = table(spark, d, "part").groupBy((F.col("p_partkey") % 4).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(known), "k")  # four rows
 
 
 # --- header rules over many files ---
@@ -392,18 +410,42 @@ def sink_read_metrics(spark: SparkSession, d: str) -> DataFrame:
     return sinks.read_metrics(one, ["sample_id"])
 
 
-@query("sink_multiqc")
+_MQ = Q.CELLS + f""", s AS (SELECT sample_id, {Q._sum('n_reads', C.NOISE)} / sum(n_reads) AS noise_read_frac, coalesce({Q._sum('n_bases', C.NOISE)} / nullif(sum(n_bases), 0), 0) AS noise_base_frac, {Q._sum('n_reads', C.NOISE_STRICT)} / sum(n_reads) AS noise_read_frac_strict, {Q._ES} / nullif({Q._ES} + {Q._EA}, 0) AS strand_concordance, CAST(sum(n_reads) AS DOUBLE) AS n_reads_classified, {_FR} FROM cnt GROUP BY 1)"""
+_MQ_NAMES = ["noise_read_frac", "noise_base_frac", "noise_read_frac_strict", "strand_concordance", "n_reads_classified", *[f"read_frac_{c}" for c in C.CATEGORY_ORDER]]
+
+
+@query("sink_multiqc", _MQ + f" SELECT sample_id, metric, round_even(v, 4) AS value FROM s UNPIVOT (v FOR metric IN ({', '.join(_MQ_NAMES)}))")
 def sink_multiqc(spark: SparkSession, d: str) -> DataFrame:
-    """The summary of each library as JSON."""
-    return sinks.summary_json(Q.sample_row(spark, d))
+    """The summary of each library as JSON, read back."""
+    j = sinks.summary_json(Q.sample_row(spark, d)).select("sample_id", F.explode(F.from_json("json", "map<string,double>")).alias("metric", "value"))
+    return j.where(F.col("metric").isin(*_MQ_NAMES))
+
+
+def _read_back(df: DataFrame, single: bool = True, blank: tuple[str, ...] = ()) -> DataFrame:
+    """A table as the sink writes it, read again; empty text is null in it but for the columns named."""
+    folder = _folder(df.sparkSession, "tsv")
+    sinks.write_tsv(df, folder, single)
+    back = df.sparkSession.read.csv(folder, sep="\t", header=True, schema=df.schema)
+    return back.withColumns({c: F.coalesce(c, F.lit("")) for c in blank})
+
+
+def _sink(name: str, source, sql: str, single: bool = True, blank: tuple[str, ...] = ()) -> None:
+    QUERIES[name], SQL[name] = lambda spark, d: _read_back(source(spark, d), single, blank), sql
+    QUERIES[name].__doc__ = "The table as written, read back."
+
 
+_sink("sink_cell_metrics", Q.cell_metrics, Q.SQL["cell_metrics"], False, ("cell_barcode",))
+_sink("sink_cluster_metrics", Q.cluster_metrics, Q.SQL["cluster_metrics"])
+_sink("sink_compare_metrics", results.metrics_full_outer, results.SQL["metrics_full_outer"])
+_sink("sink_compare_stats", results.chi2_compare, results.SQL["chi2_compare"])
 
-SQL["sink_cell_metrics"] = Q.SQL["cell_metrics"]
-QUERIES["sink_cell_metrics"] = Q.cell_metrics
-SQL["sink_cluster_metrics"] = Q.SQL["cluster_metrics"]
-QUERIES["sink_cluster_metrics"] = Q.cluster_metrics
-SQL["sink_length_samples"] = Q.SQL["reservoir_sample"]
-QUERIES["sink_length_samples"] = Q.QUERIES["reservoir_sample"]
+
+@query("sink_length_samples", Q.ONCE + " SELECT category, read_length FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5(qname), qname) AS rn FROM once WHERE read_length > 0) x WHERE rn <= 200")
+def sink_length_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Sampled lengths, a folder per category, read back."""
+    folder = _folder(spark, "lengths")
+    sinks.write_length_samples(M.hashed_sample(Q.once(spark, d).where("read_length > 0"), ["category"], "qname", 200), folder)
+    return spark.read.csv(folder, sep="\t", header=True, schema="read_length int, category string")
 
 
 @query("sink_length_strat", Q._STRAT)
@@ -419,12 +461,10 @@ def sink_per_well(spark: SparkSession, d: str) -> DataFrame:
     return sinks.per_well_rows(Q.per_well_metrics(spark, d).select("plate_id", "well_id", "n_reads_classified", "noise_read_frac"))
 
 
-@query("sink_loci")
+@query("sink_loci", results.RECORDS + " SELECT contig, start_pos AS start, end_pos AS \"end\", strand, n_reads, n_barcodes, has_splice_evidence, NOT has_splice_evidence AS is_monoexonic, polya_run AS polya_run_downstream, near_polya_site, category FROM dec")
 def sink_loci(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the locus table."""
-    from hushgrain.queries.results import scored
-
-    return sinks.loci_table(scored(spark, d))
+    """Rows of the locus table as written, but for the p-value, which engines compute to different digits."""
+    return _read_back(sinks.loci_table(results.scored(spark, d)), False).drop("poisson_pvalue_adj")
 
 
 @query("console_summary", Q.ONCE + f" SELECT concat(sample_id, '  ', CAST(CAST(sum(n_reads) AS BIGINT) AS VARCHAR), ' reads  noise ', printf('%.4f', {Q._sum('n_reads', C.NOISE)} / sum(n_reads))) AS line FROM cnt GROUP BY sample_id")
@@ -432,20 +472,3 @@ def console_summary(spark: SparkSession, d: str) -> DataFrame:
     """A line per library."""
     s = Q.sample_row(spark, d)
     return s.select(F.format_string("%s  %d reads  noise %.4f", "sample_id", "n_reads_classified", F.bround("noise_read_frac", 4)).alias("line"))
-
-
-def _results(name: str, source: str) -> None:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        from hushgrain.queries import results
-
-        return results.QUERIES[source](spark, d)
-
-    from hushgrain.queries import results
-
-    QUERIES[name] = run
-    if source in results.SQL:
-        SQL[name] = results.SQL[source]
-
-
-_results("sink_compare_metrics", "metrics_full_outer")
-_results("sink_compare_stats", "chi2_compare")

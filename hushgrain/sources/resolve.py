@@ -44,10 +44,16 @@ def version_of(name: str, pattern: str = r"[vV](\d+)") -> int | None:
     return int(m.group(1)) if m else None
 
 
+def newest_name(names: list[str], pattern: str) -> str | None:
+    """Of the names that match ``pattern`` that with the highest version (its group)."""
+    found = [(int(m.group(1)), n) for n in names if (m := re.search(pattern, n))]
+    return max(found)[1] if found else None
+
+
 def newest(folder: str, pattern: str) -> str | None:
-    """The cached file of the highest version that matches ``pattern`` (with the version as its group)."""
-    found = [(int(m.group(1)), f) for f in (os.listdir(folder) if os.path.isdir(folder) else []) if (m := re.search(pattern, f))]
-    return os.path.join(folder, max(found)[1]) if found else None
+    """The cached file of the highest version that matches ``pattern``."""
+    name = newest_name(os.listdir(folder) if os.path.isdir(folder) else [], pattern)
+    return os.path.join(folder, name) if name else None
 
 
 def probe(url: str, timeout: float = 15) -> int | None:
