@@ -102,11 +102,20 @@ def merge_sizes(maps: list[tuple[DataFrame, int]], keys: list[str]) -> tuple[Dat
 
 
 def merge_combinations(maps: DataFrame, keys: list[str]) -> DataFrame:
-    """Unions for every combination of keys, with ``level``: bit *i* from the left is 1 where key *i* is merged away."""
-    names = [f"`{k}`" for k in keys]
-    sets = ", ".join("(" + ", ".join([*(n for i, n in enumerate(names) if not (mask >> (len(keys) - 1 - i)) & 1), "word"]) + ")" for mask in range(2 ** len(keys)))
-    level = f"grouping_id({', '.join([*names, 'word'])})"
-    return maps.sparkSession.sql(f"SELECT {', '.join(names)}, CAST(shiftright({level}, 1) AS INT) AS level, word, bit_or(mask) AS mask FROM {{maps}} GROUP BY {', '.join([*names, 'word'])} GROUPING SETS ({sets})", maps=maps)
+    """Unions for every combination of keys, with ``level``: bit *i* from the left is 1 where key *i* is merged away.
+
+    Rows are spread by word once; a word of any combination is then within one task, so that one
+    shuffle of the bitmaps serves all combinations.  ``maps`` should be a materialised table.
+    """
+    spread = maps.repartition("word")
+    kinds = {f.name: f.dataType for f in maps.schema}
+    out = None
+    for level in range(2 ** len(keys)):
+        kept = [k for i, k in enumerate(keys) if not (level >> (len(keys) - 1 - i)) & 1]
+        part = spread.groupBy(*kept, "word").agg(F.bit_or("mask").alias("mask"))
+        part = part.select(*[F.col(f"`{k}`") if k in kept else F.lit(None).cast(kinds[k]).alias(k) for k in keys], F.lit(level).alias("level"), "word", "mask")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def estimate(maps: DataFrame, keys: list[str], bits: int) -> DataFrame:

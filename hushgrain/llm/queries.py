@@ -68,7 +68,7 @@ def p2_combinations(spark: SparkSession, d: str) -> DataFrame:
     rows = _umi_reads(spark, d).observe(seen, F.count(F.lit(1)).alias("n"))
     maps = materialise(bitmaps.bitmaps(rows, KEYS2, "umi", wide), "bitmaps")
     bits = bitmaps.log_bits(max(1, seen.get["n"]), UMI_ERROR)
-    maps = bitmaps.fold(maps, KEYS2, wide, bits)
+    maps = materialise(bitmaps.fold(maps, KEYS2, wide, bits), "bitmaps") if bits < wide else maps
     every = bitmaps.merge_combinations(maps, KEYS2)
     return bitmaps.estimate(every, [*KEYS2, "level"], bits).withColumn("n_distinct", F.round("n_distinct", 4))
 
