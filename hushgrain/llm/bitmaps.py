@@ -105,17 +105,16 @@ def merge_combinations(maps: DataFrame, keys: list[str]) -> DataFrame:
     """Unions for every combination of keys, with ``level``: bit *i* from the left is 1 where key *i* is merged away.
 
     Rows are spread by word once; a word of any combination is then within one task, so that one
-    shuffle of the bitmaps serves all combinations.  ``maps`` should be a materialised table.
+    shuffle of the bitmaps serves all combinations.
     """
     spread = maps.repartition("word")
     kinds = {f.name: f.dataType for f in maps.schema}
-    out = None
+    sets = []
     for level in range(2 ** len(keys)):
-        kept = [k for i, k in enumerate(keys) if not (level >> (len(keys) - 1 - i)) & 1]
-        part = spread.groupBy(*kept, "word").agg(F.bit_or("mask").alias("mask"))
-        part = part.select(*[F.col(f"`{k}`") if k in kept else F.lit(None).cast(kinds[k]).alias(k) for k in keys], F.lit(level).alias("level"), "word", "mask")
-        out = part if out is None else out.unionByName(part)
-    return out
+        away = [level >> (len(keys) - 1 - i) & 1 for i in range(len(keys))]
+        sets.append(F.struct(*[(F.lit(None).cast(kinds[k]) if gone else F.col(f"`{k}`")).alias(k) for k, gone in zip(keys, away)], F.lit(level).alias("level")))
+    rows = spread.select("word", "mask", F.explode(F.array(*sets)).alias("_s")).select(*[F.col(f"_s.`{k}`").alias(k) for k in keys], F.col("_s.level").alias("level"), "word", "mask")
+    return rows.groupBy(*keys, "level", "word").agg(F.bit_or("mask").alias("mask"))
 
 
 def estimate(maps: DataFrame, keys: list[str], bits: int) -> DataFrame:
