@@ -453,7 +453,9 @@ def pairs(spans: DataFrame, part: int = 1024) -> DataFrame:
 def text_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, class_id, n_copies``: records of equal text (by SHA-256) are one class, named by the least of them; a null text is a class of its own."""
     keyed = docs.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("doc"), F.coalesce(F.sha2(F.encode(text, "UTF-8"), 256), F.col(ident).cast("string")).alias("_h")).distinct()
-    return lookup_join(keyed, keyed.groupBy("_h").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("n_copies")), ["_h"]).select("doc", "class_id", "n_copies")
+    keyed = materialise(keyed, "texts")
+    classes = materialise(keyed.groupBy("_h").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("n_copies")), "classes")
+    return lookup_join(keyed, classes, ["_h"]).select("doc", "class_id", "n_copies")
 
 
 def removed(docs: DataFrame, spans: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
