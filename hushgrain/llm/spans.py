@@ -396,16 +396,17 @@ def shared_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", len
     release(found, several)
     places = materialise(lookup_join(kept, materialise(groups(kept, side, extent), "groups"), ["fp"]), "places")
     release(kept)
-    pieces, used, ready = materialise(_slices(places, _texts(docs, ident, text, length), length, side), "pieces"), [places], []
-    while True:
+    pieces, ready = materialise(_slices(places, _texts(docs, ident, text, length), length, side), "pieces"), []
+    release(places)
+    while pieces is not None:
         sizes = materialise(_sizes(pieces), "sizes")
         fits = (F.col("n_texts") <= max_texts) & (F.col("n_chars") <= MAX_CHARS) | F.col("narrow")
-        ready.append(lookup_join(pieces, sizes.where(fits).select("key", "n_rows"), ["key"]).select("key", "n_rows", "doc", "start", "text"))
-        used += [pieces, sizes]
+        # written by round: one query over all rounds would hold the lookups of all of them in the driver at once
+        ready.append(materialise(lookup_join(pieces, sizes.where(fits).select("key", "n_rows"), ["key"]).select("key", "n_rows", "doc", "start", "text"), "ready"))
         large = sizes.where(~fits).select("key")
-        if large.isEmpty():
-            break
-        pieces = materialise(_halved(lookup_join(pieces, large, ["key"]), length), "pieces")
+        more = None if large.isEmpty() else materialise(_halved(lookup_join(pieces, large, ["key"]), length), "pieces")
+        release(pieces, sizes)
+        pieces = more
     rows = ready[0]
     for more in ready[1:]:
         rows = rows.unionByName(more)
@@ -416,7 +417,7 @@ def shared_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", len
     reference = of.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(-1).cast("long").alias("doc"), F.lit(-1).alias("start"), "text", "a", "b")
     placed = own.unionByName(reference).repartition("key", "salt").sortWithinPartitions("key", "salt").mapInPandas(_shard_spans(length, aligned), "key long, no int, doc long, first int, last int")
     spans = materialise(placed.select(F.xxhash64("key", "no").alias("span"), "doc", "first", "last"), "placed")
-    release(*used)
+    release(*ready)
     return spans
 
 

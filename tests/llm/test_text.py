@@ -199,6 +199,23 @@ def test_spans_divided(spark, monkeypatch, seed):
     compare(spark, texts, length=20, anchor=[12, 20][seed], max_texts=[2, 4][seed], max_rows=3, extent=16)
 
 
+def test_one_lookup_is_broadcast_at_a_time(spark, monkeypatch):
+    """However often shards are halved, no job sends more than one lookup through the driver."""
+    rng = random.Random(31)
+    formula = mess(rng, 35)
+    texts = {i: mess(rng, rng.randint(3, 25)) + formula + mess(rng, rng.randint(3, 25)) for i in range(40)}
+    write, sent = spans.materialise, []
+
+    def count(df, name):
+        sent.append((name, df._jdf.queryExecution().analyzed().toString().count("strategy=broadcast")))
+        return write(df, name)
+
+    monkeypatch.setattr(spans, "materialise", count)
+    compare(spark, texts, length=20, anchor=12, max_texts=2)
+    assert sum(name == "pieces" for name, _ in sent) > 3
+    assert max(n for _, n in sent) == 1
+
+
 def test_groups_tell_every_link(spark):
     """Two records are linked just if they are in a group together; groups are as many rows as members."""
     rng = random.Random(6)
