@@ -35,7 +35,8 @@ def loci(clustered: DataFrame, keys: list[str]) -> DataFrame:
     barcodes = clustered.select(*k, "cell_barcode").distinct().groupBy(*k).agg(F.count(F.lit(1)).alias("n_barcodes"))
     ends = clustered.groupBy(*k, "three_prime").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("start_pos", "qname")).alias("first"))
     modal = ends.groupBy(*k).agg(F.min_by("three_prime", F.struct(-F.col("n"), F.col("first"))).alias("modal_three_prime"))
-    return base.join(barcodes, k).join(modal, k).withColumn("is_monoexonic", ~F.col("has_splice_evidence"))
+    # a row a locus each, up to one a read, so neither goes through the driver
+    return base.join(barcodes.hint("merge"), k).join(modal.hint("merge"), k).withColumn("is_monoexonic", ~F.col("has_splice_evidence"))
 
 
 def is_hotspot(monoexonic: Column, polya_run: Column) -> Column:
