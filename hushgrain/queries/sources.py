@@ -268,7 +268,8 @@ def scan_bam(spark: SparkSession, d: str) -> DataFrame:
     """Binary alignments: every derived read written to files, one a partition, and read back."""
     r = view(spark, d, "reads").withColumn("qname", F.col("read_id")).withColumn("mapq", F.lit(60)).withColumn("seq", F.upper("seq"))
     folder = _folder(spark, "bam")
-    bam.write_bam(r, folder, [(f"chr{i}", 1 << 30) for i in (1, 2, 3, 4, 5, 9)] + [("chrM", 1 << 30)])
+    length = max(1 << 30, (r.agg(F.max("pos")).first()[0] or 0) + 1)  # the derived genome grows with the tables
+    bam.write_bam(r, folder, [(f"chr{i}", length) for i in (1, 2, 3, 4, 5, 9)] + [("chrM", length)])
     bam.register(spark)
     return spark.read.format("bam").load(folder).select("qname", "flag", "contig", "pos", "cigar", "seq", "cb", "umi", "nh", "sa", "strand", "next_contig", "tlen")
 

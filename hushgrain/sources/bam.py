@@ -39,6 +39,9 @@ _CODES = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f":
 
 #: Files whose headers and indexes the driver reads at a time.
 PLANNERS = 32
+#: Bases of a piece of a long contig: the format's positions have 31 bits, so what lies beyond is in pieces named ``contig:piece:1`` and so on.
+PIECE = 1 << 30
+_PIECE_MARK = ":piece:"
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
@@ -169,11 +172,12 @@ def parse_record(data: bytes, names: list[str], with_seq: bool, cb: str, umi: st
         seq = packed.hex().translate(_FROM_HEX)[:n_seq]
     i += (n_seq + 1) // 2 + n_seq
     t = _tags(data, i, {cb, umi, "NH", "SA", "CG"})
-    contig = names[ref] if ref >= 0 else None
+    contig, pos = whole_place(names[ref] if ref >= 0 else None, pos)
+    mate, next_pos = whole_place(names[next_ref] if next_ref >= 0 else None, next_pos)
     if t.get("CG") and n_ops and ops[0] == (n_seq << 4 | 4):
         ops = t["CG"]  # more operations than the record's own field can count; that one holds a clip of the whole read
     cigar = "".join(f"{o >> 4}{_OPS[o & 15]}" for o in ops) or "*"
-    return qname, flag, contig, pos, mapq, cigar, names[next_ref] if next_ref >= 0 else None, next_pos, tlen, seq, t.get(cb), t.get(umi), t.get("NH"), t.get("SA"), "-" if flag & 16 else "+"
+    return qname, flag, contig, pos, mapq, cigar, mate, next_pos, tlen, seq, t.get(cb), t.get(umi), t.get("NH"), t.get("SA"), "-" if flag & 16 else "+"
 
 
 _BATCH = 4096
@@ -299,8 +303,19 @@ def _block(data: bytes) -> bytes:
     return b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
+def in_header(contig: str, length: int) -> list[tuple[str, int]]:
+    """The names and lengths of a contig in a header: itself, or its pieces if it is longer than a piece."""
+    return [(contig if i == 0 else f"{contig}{_PIECE_MARK}{i}", min(PIECE, length - i * PIECE)) for i in range(max(1, -(-length // PIECE)))]
+
+
+def whole_place(name: str | None, pos: int) -> tuple[str | None, int]:
+    """Contig and position of a place in a piece."""
+    contig, mark, i = name.rpartition(_PIECE_MARK) if name else ("", "", "")
+    return (contig, pos + int(i) * PIECE) if mark and i.isdigit() else (name, pos)
+
+
 def pack_record(r: dict, places: dict[str, int]) -> bytes:
-    """One record of the fields of ``SCHEMA``; null tags are left out."""
+    """One record of the fields of ``SCHEMA``; null tags are left out.  Places beyond a piece are in the contig's later pieces."""
     ops = [(int(n), op) for n, op in _CIGAR.findall(r["cigar"] or "")]
     seq = r["seq"] or ""
     packed = bytes.fromhex(re.sub("[^0-9a-e]", "f", seq.upper().translate(_TO_HEX)) + "0" * (len(seq) % 2))
@@ -311,7 +326,12 @@ def pack_record(r: dict, places: dict[str, int]) -> bytes:
         ops = [(len(seq), "S"), (sum(n for n, op in ops if op in "MDN=X"), "N")]
     if r["nh"] is not None:
         tags += b"NHi" + struct.pack("<i", int(r["nh"]))
-    head = struct.pack("<iiBBHHHiiii", places.get(r["contig"], -1), int(r["pos"]), len(name), 255 if r["mapq"] is None else int(r["mapq"]), 0, len(ops), int(r["flag"]), len(seq), places.get(r["next_contig"], -1), -1, int(r["tlen"] or 0))
+    contig, pos = r["contig"], int(r["pos"])
+    if contig is not None and pos >= PIECE:
+        contig, pos = f"{contig}{_PIECE_MARK}{pos // PIECE}", pos % PIECE
+        if contig not in places:
+            raise ValueError(f"{r['qname']}: {r['contig']}:{r['pos']} lies beyond the contig's length in the header")
+    head = struct.pack("<iiBBHHHiiii", places.get(contig, -1), pos, len(name), 255 if r["mapq"] is None else int(r["mapq"]), 0, len(ops), int(r["flag"]), len(seq), places.get(r["next_contig"], -1), -1, int(r["tlen"] or 0))
     body = head + name + b"".join(struct.pack("<I", n << 4 | _OPS.index(op)) for n, op in ops) + packed + b"\xff" * len(seq) + tags
     return struct.pack("<i", len(body)) + body
 
@@ -324,6 +344,7 @@ def write_bam(df, folder: str, contigs: list[tuple[str, int]], header: str = "@H
     """One file per partition of ``df`` in a folder that all executors share; returns the number of records."""
     at, inner = store(folder)
     at.create_dir(inner, recursive=True)
+    contigs = [x for c, n in contigs for x in in_header(c, n)]
     places = {c: i for i, (c, _) in enumerate(contigs)}
     text = header + "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in contigs)
     top = b"BAM\x01" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(contigs)) + b"".join(struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in contigs)

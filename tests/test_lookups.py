@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +52,18 @@ def test_lookups_of_queries(spark, monkeypatch, name):
     monkeypatch.setattr(storage, "is_small", spy)
     assert not entry.queries()[name](spark, DATA).isEmpty()
     assert max([0, *sent]) <= 512 << 10
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
+def test_alignments_beyond_31_bits(spark, tmp_path):
+    """At sixty times the parts some reads lie at positions that a record can't hold; they come back from the pieces of their contig."""
+    shifted = spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_orderkey < 3000").withColumn("l_partkey", F.col("l_partkey") + F.col("l_linenumber").cast("long") * 200_000)
+    shifted.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = entry.queries()["scan_bam"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["scan_bam"])
+    names = [c[0] for c in want.description]
+    rows = want.fetchall()
+    assert max(r[names.index("pos")] for r in rows) > 1 << 31
+    assert sorted(map(str, ([r[n] for n in names] for r in got.collect()))) == sorted(map(str, map(list, rows)))
