@@ -175,7 +175,7 @@ def _slices(places: DataFrame, docs: DataFrame, length: int, side: int) -> DataF
         bit = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
         words = places.select(slot.alias("_slot")).groupBy(F.expr("_slot div 64").alias("_word")).agg(F.bit_or(bit).alias("_mask"))
         some = docs.withColumn("_slot", slot).withColumn("_word", F.expr("_slot div 64")).join(F.broadcast(words), "_word").where(F.col("_mask").bitwiseAND(bit) != 0)
-        rows = some.select("doc", "text").join(of, "doc")
+        rows = some.select("doc", "text").join(of.hint("merge"), "doc")  # lists are larger than their files, by which the planner would broadcast them
     return rows.mapInPandas(run, "key long, lo int, hi int, doc long, start int, left int, text string")
 
 
@@ -485,7 +485,7 @@ def removed(docs: DataFrame, spans: DataFrame, ident: str = "doc_id", text: str
             yield pd.DataFrame({"doc": part["doc"], "text": out, "n_removed": n})
 
     rows = docs.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("doc"), F.col(text).alias("text"))
-    cut = rows.join(F.broadcast(cuts) if is_small(cuts) else cuts, "doc", "left").select("doc", "text", "first", "last").mapInPandas(run, "doc long, text string, n_removed long")
+    cut = rows.join(F.broadcast(cuts) if is_small(cuts) else cuts.hint("merge"), "doc", "left").select("doc", "text", "first", "last").mapInPandas(run, "doc long, text string, n_removed long")
     return cut.withColumnsRenamed({"doc": ident, "text": text})
 
 

@@ -292,3 +292,14 @@ def test_maximal_spans(spark, most):
     texts |= {50: "a" * 60, 51: "b" + "a" * 30, 52: "ab" * 40, 53: "ab" * 14, 54: texts[0], 55: texts[0] + texts[1], 56: None, 57: ""}
     want = brute_maximal(texts, 20)
     assert len(want) > 50 and maximal(spark, texts, length=20, anchor=12, max_texts=most) == want
+
+
+def test_lists_of_places_are_not_broadcast(spark, monkeypatch):
+    """Many places stay in the executors, however small their files; only the filter on records is broadcast."""
+    monkeypatch.setattr(spans, "is_small", lambda *a: False)
+    docs = spark.createDataFrame([(i, "abc" * 20) for i in range(3)], "doc long, text string")
+    places = spans.materialise(spark.createDataFrame([(7, i, 2, 0) for i in range(3)], "fp long, doc long, at int, span int"), "places")
+    rows = spans._slices(places, docs, 20, 8)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastExchange") == 1
+    assert sorted((r.doc, r.start, r.left, len(r.text)) for r in rows.collect()) == [(i, 0, 2, 22) for i in range(3)]
